@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # ``\s`` of the boundary patterns: tab, newline, form feed, return, space.
 PATTERN_SPACE = r"[\t\n\f\r ]"
-TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
+# ASCII first: most characters are decided without a Unicode property lookup.
+TOKEN_PATTERN = r"[a-z0-9_\p{L}\p{N}]++"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,7 +45,7 @@ def join_lines(lines: Column, first: Column, last: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def truncate_bytes(text: Column, limit: int) -> Column:

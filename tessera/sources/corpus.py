@@ -14,7 +14,7 @@ def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
     whose planned size is at most ``limit`` are exchanged; a larger table has
     enough splits of its own and is returned as it is.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > limit:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
