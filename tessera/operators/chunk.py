@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,12 @@ def split_large(chunks: DataFrame, limit: int = CHUNK_LIMIT_BYTES) -> DataFrame:
     return chunks.select(*kept, F.explode(parts).alias("_piece")).select(*kept, "_piece.*")
 
 
+@lru_cache(maxsize=2)
+def _route_expression(_application: str) -> Column:
+    """The dispatching expression, built once per application: it is large."""
+    return chunks_for_route(F.col("content"), F.col("route"))
+
+
 def chunk_documents(docs: DataFrame, limit: int = CHUNK_LIMIT_BYTES) -> DataFrame:
     """``(path, content[, language], ...)`` to one row per chunk.
 
@@ -76,5 +84,6 @@ def chunk_documents(docs: DataFrame, limit: int = CHUNK_LIMIT_BYTES) -> DataFram
     exchange, so it runs inside the scan's stage whatever the corpus size.
     """
     routed = with_chunk_route(drop_blank(docs))
-    chunks = explode_chunks(routed, chunks_for_route(F.col("content"), F.col("route")))
+    expression = _route_expression(docs.sparkSession.sparkContext.applicationId)
+    chunks = explode_chunks(routed, expression)
     return split_large(chunks, limit).drop("route").withColumnRenamed("path", "file_path")

@@ -196,7 +196,6 @@ def package_requirements(content: Column) -> Column:
     """
     variants = "map<string,variant>"
     wrapped = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]")))
-    only = F.when(F.schema_of_variant(wrapped).startswith("ARRAY"), wrapped.cast("array<variant>"))
 
     def is_object(v: Column) -> Column:
         return F.schema_of_variant(v).startswith("OBJECT")
@@ -244,7 +243,9 @@ def package_requirements(content: Column) -> Column:
             let(items[0].cast(variants), of_document),
         )
 
-    return F.coalesce(let(only, of_list), F.array().cast(_DEPS))
+    # In brackets, text behind the first value cannot go unnoticed.
+    found = let(wrapped, lambda w: F.when(w.isNotNull(), let(w.cast("array<variant>"), of_list)))
+    return F.coalesce(found, F.array().cast(_DEPS))
 
 
 def dependencies(manifests: DataFrame) -> DataFrame:

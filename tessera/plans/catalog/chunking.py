@@ -232,7 +232,7 @@ def _piece_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("pieces"),
             F.sum(F.octet_length("content")).alias("bytes"),
-            F.max(F.octet_length("content")).alias("largest"),
+            F.max(F.octet_length("content")).cast("bigint").alias("largest"),
             F.max("end_line").alias("last_line"),
         )
     )

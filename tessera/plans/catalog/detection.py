@@ -13,6 +13,7 @@ from tessera.operators.detect import (
     with_project,
 )
 from tessera.plans.catalog.shapes import table
+from tessera.sources.corpus import spread
 
 _SUFFIXES = [".go", ".PY", ".js", ".jsx", ".ts", ".tsx", ".java", ".rs", ".rb", ".c", ".h", ".cpp", ".cc", ".cxx",
              ".hpp", ".md", ".json", ".yaml", ".yml", ".toml", ".xyz", ""]
@@ -159,7 +160,7 @@ def _package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         key, F.lit('": "x"}, "props": '), F.col("props"),
         F.when(kind == "purchase", F.lit(",}")).otherwise(F.lit("}")),
     )
-    manifests = table(spark, sf_dir, "events").select(
+    manifests = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props")).select(
         F.concat(F.lit("/e"), key).alias("project_path"), F.lit("package.json").alias("marker"), text.alias("content")
     )
     return dependencies(manifests)

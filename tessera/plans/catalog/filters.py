@@ -18,6 +18,7 @@ from tessera.operators.secrets import find_secrets, redact
 from tessera.plans.catalog.chunking import blank_sql
 from tessera.plans.catalog.shapes import table
 from tessera.schema import METADATA_FILE_NAME
+from tessera.sources.corpus import spread
 
 _SUFFIXES = [".md", ".log", ".tmp", ".py"]
 
@@ -106,7 +107,7 @@ def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", _with_nul(F.repeat(F.col("text"), F.lit(4))).alias("content")
     )
-    return drop_binary(docs).select("doc_id", F.octet_length("content").alias("size"))
+    return drop_binary(docs).select("doc_id", F.octet_length("content").cast("bigint").alias("size"))
 
 
 _NAMES = [".env", ".setenv", "server.pem", "id.key", "credentials.json", "credentials", "notes.txt", "env", "key.txt"]
@@ -144,7 +145,7 @@ def _blank(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("text"))
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
-    return drop_blank(docs).select("doc_id", F.length("content").alias("chars"))
+    return drop_blank(docs).select("doc_id", F.length("content").cast("bigint").alias("chars"))
 
 
 _SPACES = "chr(9) || ' ' || chr(10) || chr(160) || chr(8195) || chr(133) || chr(13) || chr(10)"
@@ -159,7 +160,8 @@ def _metadata_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")
     )
 

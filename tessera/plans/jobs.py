@@ -96,12 +96,8 @@ def index_documents(
     now: int = 0,
     projects: DataFrame | None = None,
 ) -> None:
-    """Index a document table, replacing all earlier chunks of its paths.
-
-    The records are written out once: embedding is the expensive step, and the
-    store reads its input more than once.
-    """
-    rows = persist_table(document_rows(docs, embedder, now, projects), "records")
+    """Index a document table, replacing all earlier chunks of its paths."""
+    rows = document_rows(docs, embedder, now, projects)
     store.apply(updates=rows, deletes=docs.select(F.col("path").alias("file_path")))
 
 
@@ -151,7 +147,7 @@ def run_index(
         drop_binary(contents.filter(F.col("error").isNull()))
         .select("path", F.decode("content", "UTF-8").alias("content"))
     )
-    rows = persist_table(document_rows(texts, embedder, now, projects), "records")
+    rows = document_rows(texts, embedder, now, projects)
     gone = changes.filter(F.col("change") != "added").select(F.col("path").alias("file_path"))
     workspace.store.apply(updates=rows, deletes=gone)
 

@@ -26,10 +26,6 @@ FILES = T.StructType(
     ]
 )
 
-FILES_WITH_CONTENT = T.StructType(
-    FILES.fields + [T.StructField("content", T.BinaryType())]
-)
-
 INDEX = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -18,6 +18,9 @@ def local_session(cores: int | str = "*", app: str = "tessera", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Recording a call site per column expression doubles the time it takes
+        # to build the chunkers' large expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.index import delete_paths, upsert
 from tessera.schema import INDEX
-from tessera.sources.versioned import new_version, read_pointer, write_pointer
+from tessera.session import persist_table
+from tessera.sources.versioned import list_names, new_version, read_pointer, write_pointer
 
 DEFAULT_BUCKETS = 64
 
@@ -39,7 +40,7 @@ class IndexStore:
     def _bucket(self, state: dict) -> Column:
         return F.pmod(F.xxhash64("file_path"), F.lit(state["buckets"])).cast("int")
 
-    def _read(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
+    def _read(self, state: dict, buckets: set[int] | None = None) -> DataFrame:
         paths = [
             f"{self.path}/{version}/bucket={bucket}"
             for bucket, version in state["versions"].items()
@@ -63,37 +64,41 @@ class IndexStore:
         """
         state = self._state()
         bucket = self._bucket(state)
+        if updates is not None:
+            # Written out once: the updates are read for their buckets, for the
+            # replaced ids and for the new rows.
+            updates = persist_table(updates.select(*INDEX.names), "updates")
         sides = [df.select(bucket.alias("b")) for df in (updates, deletes) if df is not None]
         if not sides:
             return
         touched_rows = sides[0] if len(sides) == 1 else sides[0].union(sides[1])
-        touched = sorted(r.b for r in touched_rows.distinct().collect())
+        touched = {r.b for r in touched_rows.distinct().collect()}
         if not touched:
             return
-        rows = self._read(state, touched)
-        if deletes is not None:
-            rows = delete_paths(rows, deletes)
-        if updates is not None:
-            rows = upsert(rows, updates.select(*INDEX.names))
+        if any(int(b) in touched for b in state["versions"]):
+            rows = self._read(state, touched)
+            if deletes is not None:
+                rows = delete_paths(rows, deletes)
+            if updates is not None:
+                rows = upsert(rows, updates)
+        elif updates is not None:
+            rows = updates
+        else:
+            return
         version = new_version()
         # Rebalancing splits a bucket that one huge file dominates into several
         # output files and merges small ones.
         rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy(
             "bucket"
         ).parquet(f"{self.path}/{version}")
-        written = {
-            r.bucket
-            for r in self.spark.read.parquet(f"{self.path}/{version}").select("bucket").distinct().collect()
-        } if self._has_buckets(version) else set()
         versions = {b: v for b, v in state["versions"].items() if int(b) not in touched}
-        versions.update({str(b): version for b in written})
+        versions.update({b: version for b in self._written_buckets(version)})
         write_pointer(self.spark, self.path, {"buckets": state["buckets"], "versions": versions})
 
-    def _has_buckets(self, version: str) -> bool:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{version}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(folder))
+    def _written_buckets(self, version: str) -> list[str]:
+        """Buckets of a version that hold rows, from its folder names."""
+        names = list_names(self.spark, f"{self.path}/{version}")
+        return [n[len("bucket=") :] for n in names if n.startswith("bucket=")]
 
     def upsert(self, updates: DataFrame) -> None:
         self.apply(updates=updates)

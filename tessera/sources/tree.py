@@ -12,13 +12,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.schema import FILES, FILES_WITH_CONTENT
+from tessera.schema import FILES
 
 FORMAT = "corpus_tree"
 _ROWS = 2_000
-_DIR, _FILE = True, False
+_BATCH_BYTES = 16 << 20
 
 
 def _is_url(path: str) -> bool:
@@ -78,6 +79,12 @@ class _Folders(InputPartition):
         self.root, self.folders, self.deep = root, folders, deep
 
 
+def _batches(root: str, folders: list[str], deep: bool, count: int) -> list[_Folders]:
+    """Folders dealt round-robin into at most ``count`` partitions."""
+    count = min(len(folders), max(1, count))
+    return [_Folders(root, folders[i::count], deep) for i in range(count)]
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [r.rstrip("/") for r in options["path"].split("\n")]
@@ -107,9 +114,8 @@ class TreeReader(DataSourceReader):
                     for path, is_dir, _, _ in _children(folder)
                     if is_dir and (self.hidden or not os.path.basename(path).startswith("."))
                 ]
-            out += [_Folders(root, [f], False) for f in opened]
-            step = max(1, len(level) // (self.fanout * 4))
-            out += [_Folders(root, level[i : i + step], True) for i in range(0, len(level), step)]
+            out += _batches(root, opened, False, self.fanout // 8)
+            out += _batches(root, level, True, self.fanout)
         return out or [_Folders("", [], False)]
 
     def read(self, partition: _Folders) -> Iterator[pa.RecordBatch]:
@@ -185,24 +191,32 @@ def load_content(files: DataFrame, tasks: int | None = None) -> DataFrame:
     file does not fail the job. ``tasks`` deals the files out by hash first.
     """
     kept = files.columns
-    schema = FILES_WITH_CONTENT["content"]
-    from pyspark.sql import types as T
-
-    out = T.StructType(files.schema.fields + [schema, T.StructField("error", T.StringType())])
+    out = T.StructType(
+        files.schema.fields
+        + [T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def output(batch: pa.RecordBatch, first: int, contents: list, errors: list) -> pa.RecordBatch:
+            columns = [c.slice(first, len(contents)) for c in batch.columns]
+            columns += [pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=kept + ["content", "error"])
+
         for batch in batches:
-            paths = batch.column("path").to_pylist()
-            for i, path in enumerate(paths):
+            first, size, contents, errors = 0, 0, [], []
+            for i, path in enumerate(batch.column("path").to_pylist()):
                 try:
                     content, error = _read_bytes(path), None
                 except OSError as problem:
                     content, error = None, str(problem)
-                yield pa.RecordBatch.from_arrays(
-                    [c.slice(i, 1) for c in batch.columns]
-                    + [pa.array([content], pa.large_binary()).cast(pa.binary()), pa.array([error], pa.string())],
-                    names=kept + ["content", "error"],
-                )
+                contents.append(content)
+                errors.append(error)
+                size += len(content or b"")
+                if size >= _BATCH_BYTES:
+                    yield output(batch, first, contents, errors)
+                    first, size, contents, errors = i + 1, 0, [], []
+            if contents:
+                yield output(batch, first, contents, errors)
 
     if tasks:
         files = files.repartition(tasks, F.xxhash64("path"))

@@ -56,5 +56,9 @@ def write_pointer(spark: SparkSession, table: str, value: dict) -> None:
     context.rename(fs.makeQualified(temporary), target, options)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    return [s.getPath().getName() for s in _fs(spark, folder).listStatus(_path(spark, folder))]
+
+
 def new_version() -> str:
     return uuid.uuid4().hex

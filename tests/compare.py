@@ -21,6 +21,15 @@ TABLES = (
 ).split()
 
 
+_KINDS = {
+    "int": ("INTEGER", "NUMBER"),
+    "bigint": ("BIGINT", "NUMBER"),
+    "double": ("DOUBLE", "NUMBER"),
+    "boolean": ("BOOLEAN", "BOOL"),
+    "string": ("VARCHAR", "STRING"),
+}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for name in TABLES:
@@ -30,7 +39,7 @@ def connect(sf_dir: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9)
+        return "nan" if math.isnan(value) else value
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, (list, tuple)):
@@ -59,6 +68,11 @@ def compare(spark, con, sf_dir: str, run, sql: str | None):
     sql_time = time.time() - started
     if sorted(names) != columns:
         return False, f"columns {columns} vs {sorted(names)}"
+    kinds = {d[0]: str(d[1]).upper() for d in result.description}
+    for field in df.schema.fields:
+        wanted = _KINDS.get(field.dataType.simpleString())
+        if wanted and kinds[field.name] not in wanted:
+            return False, f"{field.name} is {field.dataType.simpleString()}, SQL gives {kinds[field.name]}"
     a, b = Counter(got), Counter(want)
     if a != b:
         extra, absent = list((a - b).items())[:2], list((b - a).items())[:2]
