@@ -128,20 +128,27 @@ def ignore_rulesets(ignore_files: DataFrame) -> DataFrame:
 
 
 def _ignored_by(rules: Column, rule_dir: Column, rel_path: Column, is_dir: Column) -> Column:
-    """Any part of the path below ``rule_dir`` is ignored; the last match decides."""
+    """Any part of the path below ``rule_dir`` is ignored; the last match decides.
+
+    Rules are the outer loop, so a pattern is compiled once per path and not
+    once per part of it.
+    """
     below = F.filter(prefixes(rel_path, include_self=True), lambda p: F.length(p) > F.length(rule_dir))
 
-    def verdict(part: Column) -> Column:
-        part_is_dir = (part != rel_path) | is_dir
+    def verdicts(parts: Column) -> Column:
         return F.aggregate(
             rules,
-            F.lit(False),
-            lambda acc, r: F.when(
-                (~r.dir_only | part_is_dir) & F.rlike(part, r.regex), ~r.negate
-            ).otherwise(acc),
+            F.transform(parts, lambda _: F.lit(False)),
+            lambda acc, r: F.zip_with(
+                acc,
+                parts,
+                lambda ignored, part: F.when(
+                    (~r.dir_only | (part != rel_path) | is_dir) & F.rlike(part, r.regex), ~r.negate
+                ).otherwise(ignored),
+            ),
         )
 
-    return F.exists(below, verdict)
+    return F.exists(let(below, verdicts), lambda ignored: ignored)
 
 
 def drop_ignored(files: DataFrame, rulesets: DataFrame) -> DataFrame:

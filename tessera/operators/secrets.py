@@ -49,11 +49,16 @@ _OPEN = "\x01\x03"
 _CLOSE = "\x01\x04"
 
 
-def _may_match(lowered: Column, rules: Sequence[Rule]) -> Column:
-    verdict = F.lit(False)
-    for word in sorted({w for rule in rules for w in rule.words}):
-        verdict = verdict | F.contains(lowered, F.lit(word))
-    return verdict
+def _may_match(text: Column, rules: Sequence[Rule]) -> Column:
+    words = sorted({w for rule in rules for w in rule.words})
+
+    def any_word(lowered: Column) -> Column:
+        verdict = F.lit(False)
+        for word in words:
+            verdict = verdict | F.contains(lowered, F.lit(word))
+        return verdict
+
+    return let(F.lower(text), any_word)
 
 
 def _without_marks(text: Column) -> Column:
@@ -88,9 +93,9 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     Documents and then lines without any of the rules' words are dropped first.
     """
     lines = (
-        docs.filter(_may_match(F.lower("content"), rules))
+        docs.filter(_may_match(F.col("content"), rules))
         .select(F.col("path").alias("file_path"), F.posexplode(lines_of(F.col("content"))).alias("n", "text"))
-        .filter(_may_match(F.lower("text"), rules))
+        .filter(_may_match(F.col("text"), rules))
     )
     findings = F.concat(*[_findings(F.col("text"), rule) for rule in rules])
     return lines.select("file_path", (F.col("n") + 1).alias("line"), F.explode(findings).alias("f")).select(
@@ -109,7 +114,7 @@ def redacted(text: Column, rules: Sequence[Rule] = RULES) -> Column:
             t = apply(rule, t)
         return t
 
-    return F.when(_may_match(F.lower(text), rules), all_rules(text)).otherwise(text)
+    return F.when(_may_match(text, rules), all_rules(text)).otherwise(text)
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -112,7 +112,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n\tshort\n\n\talone/"), brand, F.lit(" v2 // indirect\n)\nreplace x => y\nrequire (\n"),
         F.lit("\tlast/x v"), size, F.lit("\n)\nrequire\ttab v9\nrequire late v3\n"),
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")).select(
         F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("project_path"),
         F.lit("go.mod").alias("marker"),
         text.alias("content"),
