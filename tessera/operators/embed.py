@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,51 +53,42 @@ def embed(
     batch_size: int = UPSERT_BATCH_ROWS,
     out_col: str = "embedding",
 ) -> DataFrame:
-    """Append one vector per row, in row order, calling the embedder in batches.
+    """Add one vector per row, calling the embedder in batches.
 
-    Empty texts are an error, as is an embedder that returns a different number
-    of vectors than it was given texts.
+    Only the text, or what the embedder makes of it, goes to Python; all other
+    columns stay where they are. Empty texts are an error, as is an embedder
+    that returns a different number of vectors than it was given texts.
     """
-    kept = [f for f in df.schema.fields if f.name != out_col]
     features = getattr(embedder, "features", None)
+    from_hashes = getattr(embedder, "from_hashes", None)
     source = features(F.col(text_col)) if features else F.col(text_col)
     checked = F.when(
         F.coalesce(F.octet_length(text_col), F.lit(0)) == 0,
-        F.raise_error(F.lit("cannot embed an empty text")).cast("string"),
-    ).otherwise(F.lit(""))
-    prepared = df.select(*[f.name for f in kept], source.alias("_source"), checked.alias("_checked"))
-    schema = T.StructType(kept + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
+        F.raise_error(F.lit("cannot embed an empty text")),
+    ).otherwise(source)
 
     def vectors(column: pa.Array) -> np.ndarray:
-        if hasattr(embedder, "from_hashes"):
-            lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+        if from_hashes:
+            lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
             hashes = column.flatten().to_numpy(zero_copy_only=False)
-            return embedder.from_hashes(hashes.astype(np.int64), lengths.astype(np.int64))
+            return from_hashes(hashes.astype(np.int64), lengths.astype(np.int64))
         return np.asarray(embedder(column.to_pylist()), dtype=np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
-        for batch in batches:
-            source_at = batch.schema.get_field_index("_source")
-            keep = [
-                i for i, f in enumerate(batch.schema) if f.name not in ("_source", "_checked")
-            ]
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                matrix = vectors(part.column(source_at))
-                if len(matrix) != part.num_rows:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = []
+            for start in range(0, len(column), batch_size):
+                part = column.slice(start, batch_size)
+                matrix = vectors(part)
+                if matrix.ndim != 2 or len(matrix) != len(part):
                     raise ValueError("embedder returned a wrong number of vectors")
+                offsets = np.arange(len(part) + 1, dtype=np.int32) * matrix.shape[1]
                 flat = pa.array(matrix.ravel(), pa.float32())
-                size = matrix.shape[1] if matrix.ndim == 2 else 0
-                offsets = pa.array(np.arange(0, len(flat) + 1, size or 1, dtype=np.int32), pa.int32())
-                column = pa.ListArray.from_arrays(offsets, flat)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in keep] + [column],
-                    names=[batch.schema.names[i] for i in keep] + [out_col],
-                )
-
-    return prepared.mapInArrow(run, schema)
+                parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+    as_vectors = F.arrow_udf(run, T.ArrayType(T.FloatType()))
+    return df.withColumn(out_col, as_vectors(checked))
 
 
 def embed_queries(
