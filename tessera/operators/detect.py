@@ -251,8 +251,10 @@ def package_requirements(content: Column) -> Column:
 def dependencies(manifests: DataFrame) -> DataFrame:
     """``(project_path, marker, content)`` to ``(project_path, name, version)``.
 
-    Only the marker that decided the project type should be passed in. A later
-    entry of the same name replaces an earlier one.
+    Takes one manifest per project, that of the marker that decided its type.
+    A later entry of the same name replaces an earlier one. This is settled
+    inside the row, where sorting brings equal names together, so nothing is
+    exchanged.
     """
     content = F.col("content").cast("string")
     deps = (
@@ -260,11 +262,24 @@ def dependencies(manifests: DataFrame) -> DataFrame:
         .when(F.col("marker") == "package.json", package_requirements(content))
         .otherwise(F.array().cast(_DEPS))
     )
-    return (
-        manifests.select("project_path", F.posexplode(deps).alias("seq", "dep"))
-        .groupBy("project_path", F.col("dep.name").alias("name"))
-        .agg(F.max_by("dep.version", "seq").alias("version"))
-    )
+
+    def last_of_each_name(entries: Column) -> Column:
+        ordered = F.array_sort(
+            F.transform(
+                entries,
+                lambda d, i: F.struct(d["name"].alias("name"), i.alias("seq"), d["version"].alias("version")),
+            )
+        )
+        return let(
+            ordered,
+            lambda s: F.filter(
+                s, lambda d, i: F.coalesce(F.get(s, i + 1)["name"] != d["name"], F.lit(True))
+            ),
+        )
+
+    return manifests.select(
+        "project_path", F.explode(let(deps, last_of_each_name)).alias("dep")
+    ).select("project_path", F.col("dep.name").alias("name"), F.col("dep.version").alias("version"))
 
 
 def root_rollup(files: DataFrame, projects: DataFrame, deps: DataFrame) -> DataFrame:

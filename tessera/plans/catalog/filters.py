@@ -71,7 +71,7 @@ def _ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("/es/\n\n**/build/d[0-4]*\n"),
         ).alias("content"),
     )
-    root = sources.limit(1).select(
+    root = sources.agg(F.count(F.lit(1))).select(
         F.lit("/corpus").alias("root"),
         F.lit(".gitignore").alias("rel_path"),
         F.lit("*.tmp\r\nsrc1?/de/build/  \nd1.py/\n").alias("content"),
