@@ -95,7 +95,7 @@ WHERE NOT (
 
 
 def _with_nul(text: Column) -> Column:
-    at = (F.col("doc_id") * 37 % 12000).cast("int")
+    at = (F.col("doc_id") * 997 % 12000).cast("int")
     return F.concat(
         F.encode(F.substring(text, F.lit(1), at), "UTF-8"),
         F.unhex(F.lit("00")),
@@ -229,7 +229,7 @@ SQL = {
     "f02_ignore_rules": _IGNORED_SQL,
     "f03_binary_content": """
 SELECT doc_id, strlen(t) + 1 AS size FROM (SELECT doc_id, repeat(text, 4) AS t FROM documents)
-WHERE strlen(left(t, doc_id * 37 % 12000)) >= 8192""",
+WHERE strlen(left(t, doc_id * 997 % 12000)) >= 8192""",
     "f04_skip_list": f"SELECT p_partkey, path FROM ({_SKIPPED_SQL}) WHERE NOT should_skip",
     "f05_blank_content": f"""
 SELECT doc_id, length(c) AS chars FROM (

@@ -133,9 +133,21 @@ def run_index(
     )
     before = read_listing(spark, workspace.listing_path)
     previous = before.join(due, "root", "left_semi")
-    changes = persist_table(diff_files(previous, visible), "changes")
+    kept = before.join(due, "root", "left_anti").select(*FILES.names)
+    # Roots may overlap: a path counts once, and it is not gone while a root
+    # that did not change still shows it.
+    differences = diff_files(previous.dropDuplicates(["path"]), visible.dropDuplicates(["path"]))
+    elsewhere = kept.select("path", F.lit(True).alias("_elsewhere")).distinct()
+    changes = persist_table(
+        differences.join(elsewhere, "path", "left")
+        .filter((F.col("change") != "deleted") | F.col("_elsewhere").isNull())
+        .select("path", "change"),
+        "changes",
+    )
 
-    fresh = visible.join(changes.filter(F.col("change") != "deleted"), "path", "left_semi")
+    fresh = visible.dropDuplicates(["path"]).join(
+        changes.filter(F.col("change") != "deleted"), "path", "left_semi"
+    )
     size = fresh.agg(F.sum("size").alias("n")).first().n or 0
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(size / _TASK_BYTES))
     loaded = load_content(fresh, tasks)
@@ -178,7 +190,6 @@ def run_index(
         )
     )
     indexed = visible.join(errors.select("path"), "path", "left_anti").select(*FILES.names)
-    kept = before.join(due, "root", "left_anti").select(*FILES.names)
     write_listing(kept.unionByName(indexed), workspace.listing_path)
     write_metadata(merge_metadata(stored, fresh_metadata), workspace.metadata_path)
 

@@ -99,6 +99,20 @@ def test_unreadable_file_is_reported_and_retried(spark, tmp_path):
     assert run_status(spark, [str(root)], space).first().state == "up to date"
 
 
+def test_overlapping_roots(spark, tmp_path):
+    outer, inner = tmp_path / "o", tmp_path / "o" / "i"
+    put(outer, "top.txt", "top")
+    put(inner, "low.txt", "low")
+    space = Workspace(spark, str(tmp_path / "space"), buckets=2)
+    roots = [str(outer), str(inner)]
+    run_index(spark, roots, space, now=1)
+    assert sorted(os.path.basename(r.file_path) for r in space.store.read().collect()) == ["low.txt", "top.txt"]
+    # Ignored below the outer root only: the inner root still shows the file.
+    put(outer, ".gitignore", "i/\n")
+    run_index(spark, roots, space, now=2)
+    assert sorted(os.path.basename(r.file_path) for r in space.store.read().collect()) == [".gitignore", "low.txt", "top.txt"]
+
+
 def test_missing_root(spark, tmp_path):
     with pytest.raises(Exception):
         run_index(spark, [str(tmp_path / "none")], Workspace(spark, str(tmp_path / "s")))
