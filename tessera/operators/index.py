@@ -39,18 +39,17 @@ def build_index_rows(
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX.fields])
 
 
-def latest_by_id(updates: DataFrame, seq_col: str = "seq") -> DataFrame:
-    """The row with the highest ``seq`` per id, without the ``seq`` column.
+def latest(rows: DataFrame, key: str, seq_col: str | None = None) -> DataFrame:
+    """The row with the highest ``seq_col`` per key, without that column.
 
-    ``max_by`` is combined before the shuffle, so an id that makes up much of
-    the input still reaches its reducer as one row per task.
+    Without one the later row of the input counts. ``max_by`` is combined before
+    the shuffle, so a key that makes up much of the input still reaches its
+    reducer as one row per task.
     """
-    kept = [c for c in updates.columns if c != seq_col]
-    return (
-        updates.groupBy("id")
-        .agg(F.max_by(F.struct(*kept), seq_col).alias("_row"))
-        .select("_row.*")
-    )
+    if seq_col is None:
+        seq_col, rows = "_seq", rows.withColumn("_seq", F.monotonically_increasing_id())
+    kept = [c for c in rows.columns if c != seq_col]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*kept), seq_col).alias("_row")).select("_row.*")
 
 
 def upsert(index: DataFrame, updates: DataFrame, seq_col: str | None = None) -> DataFrame:
@@ -58,9 +57,9 @@ def upsert(index: DataFrame, updates: DataFrame, seq_col: str | None = None) ->
 
     With ``seq_col`` several updates of one id are allowed and the last wins.
     """
-    latest = latest_by_id(updates, seq_col) if seq_col else updates
-    kept = index.join(latest.select("id"), "id", "left_anti")
-    return kept.select(*index.columns).unionByName(latest.select(*index.columns))
+    fresh = latest(updates, "id", seq_col) if seq_col else updates
+    kept = index.join(fresh.select("id"), "id", "left_anti")
+    return kept.select(*index.columns).unionByName(fresh.select(*index.columns))
 
 
 def delete_paths(index: DataFrame, paths: DataFrame | str) -> DataFrame:

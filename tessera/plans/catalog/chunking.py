@@ -21,6 +21,7 @@ from tessera.plans.catalog.shapes import (
 WS = (
     r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+# The boundary patterns in that language.
 _PATTERNS = {
     "go": r"^func\s+",
     "python": r"^(class|def)\s+\w+",
@@ -213,6 +214,7 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _routes_sql() -> str:
     suffix = f"({_SUFFIXES!r})[(doc_id % {len(_SUFFIXES)} + 1)::INTEGER]"
+    # Chunker by extension.
     known = {
         ".go": "go", ".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java",
         ".md": "markdown", ".markdown": "markdown", ".yml": "yaml", ".yaml": "yaml", ".json": "json", ".toml": "toml",

@@ -15,6 +15,7 @@ from tessera.operators.detect import (
 from tessera.plans.catalog.shapes import table
 from tessera.sources.corpus import spread
 
+# Extensions and markers with what they stand for.
 _SUFFIXES = [".go", ".PY", ".js", ".jsx", ".ts", ".tsx", ".java", ".rs", ".rb", ".c", ".h", ".cpp", ".cc", ".cxx",
              ".hpp", ".md", ".json", ".yaml", ".yml", ".toml", ".xyz", ""]
 _LANGUAGES = ["go", "python", "javascript", "javascript", "typescript", "typescript", "java", "rust", "ruby", "c", "c",

@@ -28,7 +28,7 @@ from tessera.operators.filters import (
     flag_skipped,
     ignore_rulesets,
 )
-from tessera.operators.index import build_index_rows
+from tessera.operators.index import build_index_rows, latest
 from tessera.operators.render import with_rendering
 from tessera.operators.search import hybrid_search, text_search, to_results
 from tessera.operators.secrets import redact
@@ -95,8 +95,19 @@ def index_documents(
     embedder: Embedder | None = None,
     now: int = 0,
     projects: DataFrame | None = None,
+    seq_col: str | None = None,
 ) -> None:
-    """Index a document table, replacing all earlier chunks of its paths."""
+    """Index a document table, replacing all earlier chunks of its paths.
+
+    Of several documents with one path the last counts, by ``seq_col`` or else
+    by input order. A pass over the paths alone finds out whether there are any,
+    which spares tables of distinct paths an exchange of their texts.
+    """
+    repeated = docs.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    if not repeated.isEmpty():
+        docs = latest(docs, "path", seq_col)
+    elif seq_col:
+        docs = docs.drop(seq_col)
     rows = document_rows(docs, embedder, now, projects)
     store.apply(updates=rows, deletes=docs.select(F.col("path").alias("file_path")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.index import delete_paths, upsert
+from tessera.operators.index import delete_paths, latest, upsert
 from tessera.schema import INDEX
 from tessera.session import persist_table
 from tessera.sources.versioned import list_names, new_version, read_pointer, write_pointer
@@ -59,6 +59,9 @@ class IndexStore:
     def apply(self, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
         """Delete the chunks of ``deletes.file_path``, then put in ``updates``.
 
+        The ids of ``updates`` are distinct, as they are for chunks of distinct
+        files; ``upsert`` takes any rows.
+
         Both steps become visible together. The same call made again leaves the
         index as it is, so an interrupted run can simply be repeated.
         """
@@ -100,8 +103,9 @@ class IndexStore:
         names = list_names(self.spark, f"{self.path}/{version}")
         return [n[len("bucket=") :] for n in names if n.startswith("bucket=")]
 
-    def upsert(self, updates: DataFrame) -> None:
-        self.apply(updates=updates)
+    def upsert(self, updates: DataFrame, seq_col: str | None = None) -> None:
+        """Put in ``updates``; of several rows with one id the last counts."""
+        self.apply(updates=latest(updates, "id", seq_col))
 
     def delete(self, paths: DataFrame | str) -> None:
         if isinstance(paths, str):

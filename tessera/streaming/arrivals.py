@@ -6,7 +6,6 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.embed import Embedder
@@ -15,12 +14,6 @@ from tessera.session import persist_table
 from tessera.sources.store import IndexStore
 
 
-def latest_documents(docs: DataFrame, seq_col: str) -> DataFrame:
-    """The newest version of each path, combined before the shuffle."""
-    kept = [c for c in docs.columns if c != seq_col]
-    return docs.groupBy("path").agg(F.max_by(F.struct(*kept), seq_col).alias("_doc")).select("_doc.*")
-
-
 def stream_index(
     docs: DataFrame,
     store: IndexStore,
@@ -38,8 +31,8 @@ def stream_index(
     """
 
     def on_batch(batch: DataFrame, _number: int) -> None:
-        newest = latest_documents(batch, seq_col) if seq_col else batch
-        index_documents(persist_table(newest, "arrivals"), store, embedder, clock())
+        arrived = persist_table(batch, "arrivals")
+        index_documents(arrived, store, embedder, clock(), seq_col=seq_col)
 
     writer = docs.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()

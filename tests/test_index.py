@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.index import build_index_rows, chunk_id, delete_paths, latest_by_id, upsert
+from tessera.operators.index import build_index_rows, chunk_id, delete_paths, latest, upsert
 from tessera.schema import INDEX
 from tessera.sources.store import IndexStore
 
@@ -56,8 +56,8 @@ def test_upsert_replaces_and_is_idempotent(spark):
 def test_last_update_of_a_hot_id_wins(spark):
     rows = records(spark, [("a", 1, f"v{i}") for i in range(3000)] + [("b", 1, "b")])
     numbered = rows.withColumn("seq", F.when(F.col("file_path") == "a", F.expr("int(substr(content, 2))")).otherwise(0))
-    assert contents(latest_by_id(numbered)) == {("a", 1): "v2999", ("b", 1): "b"}
-    plan = latest_by_id(numbered)._jdf.queryExecution().executedPlan().toString()
+    assert contents(latest(numbered, "id", "seq")) == {("a", 1): "v2999", ("b", 1): "b"}
+    plan = latest(numbered, "id", "seq")._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
 
 
@@ -97,6 +97,12 @@ def test_store(spark, tmp_path):
     assert store.count() == 0
 
 
+def test_repeated_ids_leave_one_row(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=2)
+    store.upsert(records(spark, [("a", 1, f"v{i}") for i in range(5)]))
+    assert contents(store.read()) == {("a", 1): "v4"} and store.count() == 1
+
+
 def test_store_rewrites_only_touched_buckets(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"), buckets=16)
     store.upsert(records(spark, [(f"f{i}", 1, "t") for i in range(200)]))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.embed import HashingEmbedder
-from tessera.plans.jobs import Workspace, run_index, run_status, search
+from tessera.plans.jobs import Workspace, index_documents, run_index, run_status, search
 from tessera.sources.metadata import read_metadata
 from tessera.sources.store import IndexStore
 from tessera.streaming.arrivals import stream_index
@@ -113,6 +113,15 @@ def test_overlapping_roots(spark, tmp_path):
     assert sorted(os.path.basename(r.file_path) for r in space.store.read().collect()) == [".gitignore", "low.txt", "top.txt"]
 
 
+def test_repeated_paths_of_a_document_table(spark, tmp_path):
+    rows = [("hot.txt", f"v{i}\n\nmore") for i in range(400)] + [("hot.txt", "last")] + [(f"f{i}", "x") for i in range(800)]
+    docs = spark.createDataFrame(rows, "path string, content string")
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=2)
+    index_documents(docs, store)
+    got = {(r.file_path, r.start_line): r.content for r in store.read().collect()}
+    assert store.count() == len(got) == 801 and got[("hot.txt", 1)] == "last"
+
+
 def test_missing_root(spark, tmp_path):
     with pytest.raises(Exception):
         run_index(spark, [str(tmp_path / "none")], Workspace(spark, str(tmp_path / "s")))
