@@ -259,10 +259,11 @@ def _json_key_lines(lines: Column) -> Column:
     depth_type = "struct<brace:int,bracket:int>"
 
     def advance(depth: Column, line: Column) -> Column:
-        return F.struct(
+        changed = F.struct(
             (depth.brace + _net(line, "{", "}")).cast("int").alias("brace"),
             (depth.bracket + _net(line, "[", "]")).cast("int").alias("bracket"),
         )
+        return F.when(F.rlike(line, F.lit(r"[{}\[\]]")), changed).otherwise(depth)
 
     zero = F.struct(F.lit(0).alias("brace"), F.lit(0).alias("bracket")).cast(depth_type)
     block_starts = F.sequence(F.lit(1), n, F.lit(_FOLD_BLOCK))
