@@ -30,7 +30,7 @@ JAVA_BOUNDARY = (
 )
 HEADER_BOUNDARY = r"^#{1,6}[\t\n\f\r ]+"
 YAML_KEY = r"^[a-zA-Z_][a-zA-Z0-9_-]*:"
-JSON_KEY = r'^[\t\n\f\r ]*"[^"]+"[\t\n\f\r ]*:'
+JSON_KEY = r'\A\p{IsWhite_Space}*+"[^"]+"[\t\n\f\r ]*:'
 TOML_SECTION = r"^[\t\n\f\r ]*\[[^\]]+\]"
 
 _ESC = "\x01"
@@ -300,7 +300,7 @@ def _json_key_lines(lines: Column) -> Column:
                     F.when(
                         (after.brace == 1)
                         & (after.bracket == 0)
-                        & F.rlike(trim_space(line), F.lit(JSON_KEY)),
+                        & F.rlike(line, F.lit(JSON_KEY)),
                         F.concat(state["keys"], F.array(state.number)),
                     )
                     .otherwise(state["keys"])
@@ -324,16 +324,17 @@ def json_chunks(content: Column) -> Column:
     """Line-based split at the keys of the outermost object."""
 
     def closes(line: Column) -> Column:
-        return trim_space(line).isin("", "}", "},")
+        return F.rlike(line, F.lit(r"\A\p{IsWhite_Space}*+(?:\},?)?\p{IsWhite_Space}*+\z"))
+
+    def lone_brace(line: Column) -> Column:
+        return F.rlike(line, F.lit(r"\A\p{IsWhite_Space}*+[{}]\p{IsWhite_Space}*+\z"))
 
     def segments(lines: Column, bounds: Column) -> Column:
         def segment(start: Column, j: Column) -> Column:
             end = _segment_end(bounds, j, lines)
             final = F.get(bounds, j + 1).isNull()
             shown = F.when(final, _last_line(lines, start, end, closes)).otherwise(end)
-            rest = F.filter(
-                F.slice(lines, start + 1, end - start), lambda l: ~trim_space(l).isin("{", "}")
-            )
+            rest = F.filter(F.slice(lines, start + 1, end - start), lambda l: ~lone_brace(l))
             text = trim_space(F.array_join(F.concat(F.array(lines[start - 1]), rest), "\n"))
             return _chunk(F.regexp_replace(text, r",\z", ""), start, shown, "config_key", True)
 
