@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, quality, toxicity
+from tessera.llm import bpe, exact_dedup, minhash, quality, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_minhash": minhash.op5_minhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
 }
