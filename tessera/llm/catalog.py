@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, minhash, quality, toxicity
+from tessera.llm import bpe, exact_dedup, minhash, quality, substring, toxicity
 
 QUERIES = {
+    "op1_suffix_array": substring.op1_suffix_array,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_minhash": minhash.op5_minhash,
