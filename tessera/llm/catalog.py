@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, minhash, quality, substring, toxicity
+from tessera.llm import bpe, exact_dedup, minhash, quality, substring, toxicity, winnowing
 
 QUERIES = {
     "op1_suffix_array": substring.op1_suffix_array,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_minhash": minhash.op5_minhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
+    "op8_winnowing": winnowing.op8_winnowing,
 }
 
 SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
