@@ -218,9 +218,9 @@ def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, width: int, per
         ),
         "minhash-placed",
     )
-    # a chunk meets every chunk of its family once
+    # A chunk meets every chunk of its family once. The ids grow with the table, so they are never broadcast.
     paired = (
-        placed.join(_sets(rows.join(placed.select("id"), "id", "left_semi"), width), "id")
+        placed.join(_sets(rows.join(placed.select("id").hint("merge"), "id", "left_semi"), width), "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select(
             "root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
