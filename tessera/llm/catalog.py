@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, minhash, quality, substring, toxicity, winnowing
+from tessera.llm import bpe, exact_dedup, minhash, mixing, quality, substring, toxicity, winnowing
 
 QUERIES = {
     "op1_suffix_array": substring.op1_suffix_array,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
     "op8_winnowing": winnowing.op8_winnowing,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
