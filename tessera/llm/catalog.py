@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, minhash, mixing, quality, substring, toxicity, winnowing
+from tessera.llm import bpe, exact_dedup, minhash, mixing, pii, quality, substring, toxicity, winnowing
 
 QUERIES = {
     "op1_suffix_array": substring.op1_suffix_array,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_pii": pii.op4_pii,
     "op5_minhash": minhash.op5_minhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
