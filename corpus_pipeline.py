@@ -1,4 +1,9 @@
-"""A training-data pipeline over ``documents``: every stage's result is the next one's input."""
+"""A training-data pipeline over ``documents``: every stage's result is the next one's input.
+
+Every stage but the last returns rows of ``documents`` with all their columns. A null
+text counts as empty in all of them; a row without id is scored, compared by its exact
+text and mixed like any other, and is never a near copy.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import with_digests
 from tessera.llm.common import persist_table, read_table
 from tessera.llm.exact_dedup import drop_exact_copies
+from tessera.llm.minhash import one_of_each
+from tessera.llm.mixing import mixed
+from tessera.llm.quality import good_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trees do not reject."""
+    return good_documents(spark, docs, sf_dir)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,17 +28,31 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles of similarity 0.8 or more, the smallest doc_id stays."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least; small sources are repeated, none more than twice."""
+    return mixed(docs)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of ids and decoded bytes per remaining document."""
+    """Token count and digests of ids and decoded bytes per remaining row."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return with_digests(docs, ranks, public_tokenizers.PATTERN, "text", "doc_id")
 
 
 STAGES = [
+    ("quality", quality),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
     ("byte_bpe", byte_bpe),
 ]
 
+# Trained trees and LSH have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, minhash, mixing, pii, quality, substring, toxicity, winnowing
+from tessera.llm import bpe, exact_dedup, minhash, mixing, passages, pii, quality, substring, toxicity, winnowing
 
 QUERIES = {
     "op1_suffix_array": substring.op1_suffix_array,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
     "op8_winnowing": winnowing.op8_winnowing,
+    "op9_passages": passages.op9_passages,
     "op10_mixing": mixing.op10_mixing,
 }
 
