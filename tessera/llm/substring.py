@@ -3,12 +3,12 @@
 1. Anchors: of every ``length``-byte string the smallest hash of its 96-byte grams
    is an anchor, so equal strings meet at equal anchors. An anchor's context is all
    bytes of the strings that may have it as their anchor.
-2. Contexts are counted by (anchor hash, context hash); copies combine before the
-   shuffle. A context seen twice is covered as a whole; an anchor hash seen once holds
+2. Contexts are counted by (anchor hash, context hash); a task combines the copies
+   in every slice of its texts before the shuffle. A context seen twice is covered as a whole; an anchor hash seen once holds
    no repeat. What is left are anchor hashes with several different contexts.
 3. One copy of each such context is cut from its text. Anchor hashes are dealt to
    buckets of bounded size, and a task orders the suffixes of its bucket by a
-   blockwise, difference-cover construction (``suffixes.BlockwiseSuffixes``);
+   blockwise, difference-cover construction (``suffixes.repeated_strings``);
    neighbours that agree for ``length`` bytes are repeats. An anchor hash with more
    than ``MOST_CONTEXTS`` contexts would outgrow a task: its strings are counted by
    hash instead, an aggregate that combines before the shuffle.
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import persist_table, read_table, slices_of, spread_rows, text_or_empty
-from tessera.llm.suffixes import BlockwiseSuffixes, RangeHash, anchors
+from tessera.llm.suffixes import RangeHash, anchors, repeated_strings
 
 LENGTH, GRAM = 200, 96
 BUCKET_CONTEXTS = 2_048
@@ -43,13 +43,15 @@ KEY = ["key", "mark"]
 NO_ID = -(1 << 63)
 
 
-def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchor_rows(rows: DataFrame, length: int, gram: int, counted: bool) -> DataFrame:
+    """All anchors; ``counted`` gives each pair of hashes once per slice of texts, with its number ``n``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, keys, marks = batch["text"], batch["key"].to_numpy(), batch["mark"].to_numpy()
             for a, b in slices_of(texts.str.len(), SLICE_BYTES):
                 row, at, key, context = anchors([t.encode("utf-8", "replace") for t in texts[a:b]], length, gram)
-                yield pd.DataFrame(
+                found = pd.DataFrame(
                     {
                         "key": keys[a:b][row],
                         "mark": marks[a:b][row],
@@ -58,8 +60,17 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                         "context": context.astype(np.int64),
                     }
                 )
+                if counted:
+                    order = np.lexsort((context, key))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (key[order[1:]] != key[order[:-1]]) | (context[order[1:]] != context[order[:-1]])
+                    first = np.nonzero(new)[0]
+                    found = found.iloc[order[first]]
+                    found["n"] = np.diff(np.append(first, len(order)))
+                yield found
 
-    return rows.mapInPandas(run, "key long, mark long, at int, gram long, context long")
+    kind = "key long, mark long, at int, gram long, context long"
+    return rows.mapInPandas(run, kind + ", n long" * counted)
 
 
 def _cut_contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -79,40 +90,24 @@ def _cut_contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInPandas(run, "gram long, context long, bucket long, hot boolean, before int, bytes binary")
 
 
-def _spans(hit: np.ndarray, first: np.ndarray, length: int) -> list[list[int]]:
-    """Merged ``[from, to, ...]`` of the repeated strings of each context, relative to the context.
-
-    ``hit`` marks strings in order; ``first`` holds the index of each context's first string and the total.
-    """
-    out = []
-    for a, b in zip(first, first[1:]):
-        starts = np.nonzero(hit[a:b])[0]
-        if not len(starts):
-            out.append([])
-            continue
-        gap = np.nonzero(np.diff(starts) > length)[0]
-        low = starts[np.concatenate([[0], gap + 1])]
-        high = starts[np.concatenate([gap, [len(starts) - 1]])] + length
-        out.append(np.stack([low, high], axis=1).ravel().tolist())
-    return out
+def _spans(hit: np.ndarray, length: int) -> list[int]:
+    """``[from, to, ...]``: union of the repeated strings of a context, in its bytes; ``hit`` marks them in order."""
+    starts = np.nonzero(hit)[0]
+    if not len(starts):
+        return []
+    gap = np.nonzero(np.diff(starts) > length)[0]
+    low = starts[np.concatenate([[0], gap + 1])]
+    high = starts[np.concatenate([gap, [len(starts) - 1]])] + length
+    return np.stack([low, high], axis=1).ravel().tolist()
 
 
 def _suffix_spans(contexts: DataFrame, length: int) -> DataFrame:
     """Repeated spans of the contexts of each bucket, relative to the anchor."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        parts = list(bucket["bytes"])
-        sizes = np.array([len(p) for p in parts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        # a context holds the strings that have its anchor: all that fit into it
-        counts = np.maximum(sizes - length + 1, 0)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        at = np.arange(first[-1]) - np.repeat(first[:-1] - starts[:-1], counts)
-        # equal strings have the same anchor at the same distance
         kind = np.unique(bucket["gram"], return_inverse=True)[1]
-        ahead = at - np.repeat(starts[:-1] + bucket["before"].to_numpy(), counts) + length
-        order = BlockwiseSuffixes(np.frombuffer(b"".join(parts), np.uint8), length)
-        found = _spans(order.repeated(at, np.repeat(kind, counts) * (2 * length) + ahead), first, length)
+        hits = repeated_strings(list(bucket["bytes"]), bucket["before"].to_numpy(np.int64), kind, length)
+        found = [_spans(hit, length) for hit in hits]
         moved = [[x - before for x in spans] for spans, before in zip(found, bucket["before"])]
         out = pd.DataFrame({"gram": bucket["gram"], "context": bucket["context"], "spans": moved})
         return out[[bool(s) for s in moved]]
@@ -153,12 +148,25 @@ def covered_spans(
     bucket_contexts: int = BUCKET_CONTEXTS,
 ) -> DataFrame:
     """``key, mark, spans``: byte spans ``[from, to)`` of each row (``key, mark, text``) that stand elsewhere too, unmerged."""
-    found = _anchor_rows(rows.where(F.octet_length("text") >= length), length, gram)
+    rows_ = rows.where(F.octet_length("text") >= length)
     pair = ["gram", "context"]
-    counted = found.groupBy(*pair).agg(F.count("*").alias("n"), F.min(F.struct("key", "mark", "at")).alias("sample"))
-    by_gram = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("contexts"), F.min("n").alias("least"))
+    # slices have combined their copies; one exchange by anchor hash serves both counts
+    counted = (
+        _anchor_rows(rows_, length, gram, counted=True)
+        .repartition("gram")
+        .groupBy(*pair)
+        .agg(F.sum("n").alias("n"), F.min(F.struct("key", "mark", "at")).alias("sample"))
+    )
+    alike = Window.partitionBy("gram")
     repeated = persist_table(
-        counted.join(by_gram.where("total > 1"), "gram").select(*pair, "n", "sample", "contexts", "least"),
+        counted.select(
+            *pair,
+            "n",
+            "sample",
+            F.sum("n").over(alike).alias("total"),
+            F.count("*").over(alike).alias("contexts"),
+            F.min("n").over(alike).alias("least"),
+        ).where("total > 1"),
         "substring-repeated",
     )
     open_rows = repeated.where("contexts > 1 AND least = 1")
@@ -184,7 +192,8 @@ def covered_spans(
     decided = persist_table(whole.unionByName(once.select(*pair, "spans")), "substring-decided")
     reach = F.array(F.greatest(F.lit(gram - length), -F.col("at")), F.lit(length))
     return (
-        found.join(decided, pair)
+        _anchor_rows(rows_, length, gram, counted=False)
+        .join(decided, pair)
         .select(*KEY, F.transform(F.coalesce("spans", reach), lambda x: x + F.col("at")).alias("spans"))
         .groupBy(*KEY)
         .agg(F.flatten(F.collect_list("spans")).alias("spans"))  # spans of one text

@@ -91,126 +91,96 @@ def difference_cover(period: int) -> np.ndarray:
     return np.unique(np.concatenate([np.arange(step), np.arange(step, period, step)]))
 
 
-def _shifts(cover: np.ndarray, period: int) -> np.ndarray:
-    """``[i mod period, j mod period]`` -> smallest shift that takes both into the cover."""
-    held = np.zeros(period, bool)
-    held[cover] = True
-    residue = np.arange(period)
-    out = np.zeros((period, period), np.int64)
-    for shift in range(period - 1, -1, -1):
-        moved = held[(residue + shift) % period]
-        out[moved[:, None] & moved[None, :]] = shift
-    return out
-
-
-def _dense(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by ``keys`` (most significant first) and the rank of each row, equal rows sharing one."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank
-
-
-class BlockwiseSuffixes:
-    """Orders chosen suffixes of a text by their first ``depth`` bytes, one bucket at a time.
-
-    The ranks of the suffixes at difference-cover positions are computed once, by
-    doubling from blocks of ``period`` bytes. A bucket holds the suffixes between two
-    splitters, of which none parts a group; they are sorted by their first ``period`` bytes, and those still tied
-    by the cover ranks at the shift their two positions have in common. Only the cover
-    ranks and one bucket are held besides the text.
+class CoverRanks:
+    """Order of the suffixes of a text at difference-cover positions, by their first ``8 * period`` bytes.
+
+    Names of ``period``-byte blocks are doubled three times; a step of a whole number
+    of periods stays inside the cover, so nothing else of the text has to be ranked.
     """
 
-    def __init__(self, text: np.ndarray, depth: int, period: int = 32):
-        self.depth, self.period = depth, period
-        self.text = np.concatenate([text, np.zeros(2 * depth + 4 * period, np.uint8)])
+    def __init__(self, text: np.ndarray, period: int = 32):
+        self.period = period
+        padded = np.concatenate([text, np.zeros(10 * period, np.uint8)])
+        self.words = np.zeros(len(padded) - 7, np.uint64)  # eight bytes from every position, big-endian
+        for b in range(8):
+            self.words <<= _U(8)
+            self.words |= padded[b : len(padded) - 7 + b]
         cover = difference_cover(period)
-        self.shift = _shifts(cover, period)
-        last = len(text) + depth + period
+        residue = np.arange(period)
+        wait = (cover[None, :] - residue[:, None]) % period
+        self.wait = wait.min(axis=1)  # bytes from a residue to the next cover position
+        last = len(text) + period
         sample = (np.arange(0, last, period)[:, None] + cover).ravel()
-        sample = sample[sample < last]
-        place = np.full(last + 1, -1, np.int64)
-        place[sample] = np.arange(len(sample))
-        rank = _dense(self._words(sample))[1]
-        reach = period
-        while reach < depth:  # shifts by the period stay inside the cover
-            after = np.where(sample + reach < last, place[np.minimum(sample + reach, last)], -1)
-            follow = np.where(after >= 0, rank[after], -1)
-            rank = np.unique(rank * (len(sample) + 2) + follow + 1, return_inverse=True)[1]
-            reach *= 2
-        self.rank = np.full(last + 1, -1, np.int32)
-        self.rank[sample] = rank
-
-    def _words(self, at: np.ndarray) -> list[np.ndarray]:
-        """The first ``period`` bytes at each position as big-endian integers."""
-        out = []
-        for k in range(0, self.period, 8):
-            value = np.zeros(len(at), np.uint64)
-            for b in range(8):
-                value = value << _U(8) | self.text[at + (k + b)]
-            out.append(value)
+        steps = len(cover)
+        order = np.lexsort([self.words[sample + k] for k in range(period - 8, -1, -8)])
+        new = np.zeros(len(sample), bool)
+        for k in range(0, period, 8):
+            w = self.words[sample[order] + k]
+            new[1:] |= w[1:] != w[:-1]
+        rank = np.empty(len(sample), np.int64)
+        rank[order] = np.cumsum(new)
+        names = [rank]
+        for reach in (1, 2, 4):  # periods; as many cover positions lie between
+            follow = np.append(rank[steps * reach :], np.full(min(steps * reach, len(rank)), -1)) + 1
+            rank = np.unique(rank * (len(sample) + 1) + follow, return_inverse=True)[1]
+            names.append(rank)
+        self.place = np.full(last + period, 0, np.int64)
+        self.place[sample] = np.arange(len(sample))
+        self.rank, self.double = names[3], names[1]
+
+    def ahead(self, at: np.ndarray, wait: int) -> np.ndarray:
+        """One integer by which suffixes at positions of one residue are ordered: the bytes before the
+        next cover position, then its rank."""
+        lead = self.words[at] >> _U(64 - 8 * wait) if wait else np.zeros(len(at), np.uint64)
+        return lead << _U(24) | self.rank[self.place[at + wait]].astype(np.uint64)
+
+    def same(self, a: np.ndarray, b: np.ndarray, wait: int, length: int) -> np.ndarray:
+        """Whether the first ``length`` bytes at each pair of positions of one residue agree."""
+        out = self.words[a] == self.words[b]
+        block, k = 2 * self.period, wait
+        while k + block <= length:
+            out &= self.double[self.place[a + k]] == self.double[self.place[b + k]]
+            k += block
+        while k < length:
+            k = min(k, length - 8)
+            out &= self.words[a + k] == self.words[b + k]
+            k += 8
         return out
 
-    def repeated(self, at: np.ndarray, group: np.ndarray, bucket: int = 1 << 16) -> np.ndarray:
-        """Whether the ``depth`` bytes at each of ``at`` also stand at another one of the same group.
-
-        Groups are ordered first, so a bucket is a run of groups.
-        """
-        out = np.zeros(len(at), bool)
-        splitters = np.unique(np.sort(group)[bucket::bucket])
-        which = np.searchsorted(splitters, group, side="right")
-        for k in range(len(splitters) + 1):
-            mine = np.nonzero(which == k)[0]
-            if len(mine) > 1:
-                out[mine] = self._equal_neighbours(at[mine], group[mine])
-        return out
 
-    def _equal_neighbours(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        order, rank = _dense([group, *self._words(at)])
-        place, segment = at[order], rank[order]
-        twice = np.zeros(len(at), bool)
-        live = np.arange(len(at))  # positions in the order that are still in a tie
-        while True:
-            size = np.bincount(segment[live]) if len(live) else np.zeros(1, int)
-            live = live[size[segment[live]] > 1]
-            if not len(live):
-                break
-            seg = segment[live]
-            head = np.concatenate([[True], seg[1:] != seg[:-1]])
-            pivot = place[live[np.nonzero(head)[0]]][np.cumsum(head) - 1]
-            here = place[live]
-            shift = self.shift[here % self.period, pivot % self.period]
-            side = np.sign(self.rank[here + shift] - self.rank[pivot + shift])
-            # ties with the pivot are final: equal for at least ``depth`` bytes
-            block = np.cumsum(head) - 1
-            equal = np.bincount(block, side == 0) > 1
-            twice[order[live[(side == 0) & equal[block]]]] = True
-            moved = np.argsort(block * 3 + side + 1, kind="stable")
-            order[live], place[live] = order[live[moved]], here[moved]
-            key = (block * 3 + side + 1)[moved]
-            done = side[moved] == 0
-            segment[live] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-            live = live[~done]
-            if len(live):  # renumber so that segments stay distinct
-                segment[live] = np.unique(segment[live], return_inverse=True)[1]
-        return self._confirm(order, place, group[order], twice)
-
-    def _confirm(self, order: np.ndarray, place: np.ndarray, group: np.ndarray, twice: np.ndarray) -> np.ndarray:
-        """Adjacent suffixes that part within the cover's reach but agree for ``depth`` bytes are equal too."""
-        open_pair = np.nonzero(~(twice[order[1:]] & twice[order[:-1]]))[0]
-        a, b = place[open_pair], place[open_pair + 1]
-        same = group[open_pair] == group[open_pair + 1]
-        for k in range(0, self.depth, 8):
-            step = min(8, self.depth - k)
-            still = np.nonzero(same)[0]
-            if not len(still):
-                break
-            for j in range(step):
-                same[still] &= self.text[a[still] + k + j] == self.text[b[still] + k + j]
-        hit = open_pair[same]
-        twice[order[hit]] = True
-        twice[order[hit + 1]] = True
-        return twice
+def repeated_strings(parts: list[bytes], before: np.ndarray, kind: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each context, which of its ``length``-byte strings also stand in another one of its kind.
+
+    ``before`` counts the bytes of a context that stand before its anchor; equal strings
+    have anchors of one kind at one distance. Contexts are laid out with their anchors at
+    multiples of the period, so the suffixes of a bucket, all those at one distance from
+    their anchors, have one residue: a short lead of bytes takes them all to the
+    cover, whose ranks settle ties of any depth. Buckets are sorted one at a time;
+    neighbours that agree for ``length`` bytes are repeats.
+    """
+    period = 32
+    sizes = np.array([len(p) for p in parts], np.int64)
+    pad = -before % period
+    room = (pad + sizes + period - 1) // period * period
+    starts = np.concatenate([[0], np.cumsum(room)[:-1]]) + pad
+    text = np.zeros(int(room.sum()), np.uint8)
+    for s, p in zip(starts, parts):
+        text[s : s + len(p)] = np.frombuffer(p, np.uint8)
+    ranks = CoverRanks(text, period)
+    anchor = starts + before
+    hits = [np.zeros(max(n - length + 1, 0), bool) for n in sizes]
+    flat = np.zeros(int(np.maximum(sizes - length + 1, 0).sum()), bool)
+    first = np.concatenate([[0], np.cumsum([len(h) for h in hits])]).astype(np.int64)
+    for distance in range(int(before.max(initial=0)) + 1):
+        mine = np.nonzero((before >= distance) & (before - distance + length <= sizes))[0]
+        if len(mine) < 2:
+            continue
+        at = anchor[mine] - distance
+        wait = int(ranks.wait[-distance % period])
+        order = np.lexsort((ranks.ahead(at, wait), kind[mine]))
+        at, mine = at[order], mine[order]
+        equal = np.nonzero(kind[mine[1:]] == kind[mine[:-1]])[0]
+        equal = equal[ranks.same(at[equal], at[equal + 1], wait, length)]
+        here = first[mine] + before[mine] - distance
+        flat[here[equal]] = flat[here[equal + 1]] = True
+    return [flat[a:b] for a, b in zip(first, first[1:])]
