@@ -1,0 +1,168 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import minhash, passages
+from tessera.llm.graph import components
+from tessera.llm.shingles import shingle_sets
+from tests.llm.conftest import plain
+
+
+def words_of(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+
+
+def brute(rows, width, percent):
+    """``(id, set size, smallest id reachable)`` by comparing all pairs."""
+    sets = []
+    for i, t in rows:
+        w = words_of(t)
+        sets.append((i, {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()))
+    up = {i: i for i, _ in sets if i is not None}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations([s for s in sets if s[0] is not None], 2):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            low, high = sorted((top(i), top(j)))
+            up[high] = low
+    return sorted([(i, len(s), top(i) if i is not None else None) for i, s in sets], key=repr)
+
+
+def edited(rng, words, share):
+    return [rng.choice("pqrstuvw") * 3 if rng.random() < share else w for w in words]
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i + 1, i) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shingles_are_distinct_and_fold_ascii_only():
+    a, b, c, d = shingle_sets([b"One two  three\tfour", b"one TWO three four", "É two three four".encode(), b""], 3)
+    assert (a == b).all() and len(a) == 2 and len(np.intersect1d(a, c)) == 1 and len(d) == 0
+    assert len(shingle_sets([b"x y"], 3)[0]) == 1 and len(shingle_sets([b"a a a a a"], 3)[0]) == 1
+
+
+def test_near_copies_around_the_threshold(docs_of):
+    rng = random.Random(3)
+    rows = []
+    for family in range(6):
+        base = [f"w{family}_{rng.randrange(500)}" for _ in range(rng.randrange(3, 120))]
+        rows += [" ".join(edited(rng, base, rng.choice([0, 0.01, 0.03, 0.05, 0.2]))) for _ in range(12)]
+    rng.shuffle(rows)
+    for width, percent in ((3, 85), (5, 80)):
+        assert plain(minhash.near_components(docs_of(rows), width, percent)) == brute(list(enumerate(rows)), width, percent)
+
+
+def test_chunked_families_lose_no_link(docs_of, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    rows = [" ".join(edited(rng, base, 0.04)) for _ in range(40)]
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", 300)
+    assert plain(minhash.near_components(docs_of(rows), 3, 85)) == brute(list(enumerate(rows)), 3, 85)
+
+
+def test_minhash_of_odd_rows(spark, table, odd_docs, no_docs):
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
+    got = minhash.op5_minhash(spark, table(odd_docs))
+    assert plain(got.select("doc_id", "n_shingles", "component_id")) == brute(rows, 3, 85)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
+    assert plain(minhash.op5_minhash(spark, table(no_docs))) == []
+    kept = minhash.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.where("doc_id IS NULL").count() == 2
+
+
+def test_packed_bits_estimate_similarity():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    sets = [np.unique(base[:1500]), np.unique(base[150:1650]), np.unique(rng.integers(0, 1 << 63, 1500, dtype=np.uint64))]
+    hashes = 480
+    packed = np.frombuffer(minhash._packed(minhash._minima(sets, hashes)).tobytes(), np.uint64).reshape(3, -1)
+    near, far = minhash.estimates(packed[0], packed[1:], hashes)
+    assert abs(near - 1350 / 1650) < 0.08 and abs(far) < 0.08
+
+
+def test_band_count_bounds_the_miss():
+    for t in (0.8, 0.85):
+        b = minhash.band_count(t)
+        assert (1 - t**minhash.ROWS) ** b <= minhash.MISS < (1 - t**minhash.ROWS) ** (b - 1)
+
+
+def test_compact_windows_equal_definition():
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(0, 40, 300).astype(np.uint64)
+    bounds = np.array([0, 0, 120, 300])
+    got = sorted(passages.compact_windows(tokens, bounds, 1, 10).tolist())
+    order = passages.mix(tokens * passages._SEEDS[1]) >> np.uint64(24)
+    want = []
+    for a, b in zip(bounds, bounds[1:]):
+        for c in range(a, b):
+            low = c
+            while low > a and order[low - 1] > order[c]:
+                low -= 1
+            high = c
+            while high + 1 < b and order[high + 1] >= order[c]:
+                high += 1
+            if high - low + 1 >= 10:
+                want.append(c)
+    assert got == want
+
+
+def test_shared_passages_are_found_and_verified():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 1 << 60, 300).astype(np.uint64) for _ in range(2))
+    b[200:280] = a[10:90]
+    assert passages.shared_passages(a, b) == [(10, 90, 200, 280)]
+    b[230] = 5
+    ((x, y, v, w),) = passages.shared_passages(a, b)
+    assert (x, y, v, w) == (10, 90, 200, 280)
+    b[205:280:3] = 7
+    assert all(100 * len(np.intersect1d(a[x:y], b[v:w])) >= 80 * len(np.union1d(a[x:y], b[v:w])) for x, y, v, w in passages.shared_passages(a, b))
+    assert passages.shared_passages(a, a[:20]) == []
+
+
+def test_repeated_passages_are_covered_and_clean_texts_left(spark, docs_of, table, odd_docs, no_docs):
+    rng = random.Random(8)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    common = fresh(70)
+    almost = common[:30] + ["changed"] + common[31:]
+    rows = [fresh(100) + common + fresh(40), common + fresh(90), fresh(60) + almost, fresh(200), fresh(30), common[:30] + fresh(80)]
+    got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
+    spans = {i: [tuple(map(int, s.split(":"))) for s in r["spans"].split(",") if s] for i, r in got.items()}
+    for i, (a, b) in {0: (100, 170), 1: (0, 70), 2: (60, 130)}.items():
+        assert any(x <= a and b <= y for x, y in spans[i]), (i, spans[i])
+    assert [spans[i] for i in (3, 4, 5)] == [[], [], []]
+    assert {got[i]["class_id"] for i in (0, 1, 2)} == {0} and [got[i]["class_id"] for i in (3, 4, 5)] == [3, 4, 5]
+    odd = {r["doc_id"]: r for r in passages.op9_passages(spark, table(odd_docs.where("doc_id IS NOT NULL"))).collect()}
+    assert odd[8]["n_covered"] == odd[9]["n_covered"] == 30_000 and odd[1]["n_words"] == 0
+    assert passages.op9_passages(spark, table(odd_docs)).count() == odd_docs.select("doc_id").distinct().count()
+    assert plain(passages.op9_passages(spark, table(no_docs))) == []
+
+
+def test_a_chunked_hub_covers_all_its_candidates(spark, docs_of, table, monkeypatch):
+    monkeypatch.setattr(passages, "CHUNK", 3)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    rows = [" ".join([f"u{rng.randrange(10**9)}" for _ in range(30)] + common) for _ in range(20)]
+    got = passages.op9_passages(spark, table(docs_of(rows))).collect()
+    assert {r["class_id"] for r in got} == {0} and all(r["n_covered"] >= 60 for r in got)
+    assert got and F is not None
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "a b c"])
+def test_short_texts_have_sequences(text):
+    (seq,), count = passages.sequences([text.encode()])
+    assert count[0] == len(text.split()) and len(seq) == (1 if text.split() else 0)
