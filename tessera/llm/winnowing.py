@@ -44,7 +44,7 @@ def _doubled(reach: int):
 
 def gram_keys(text: Column, offset: Column | None = None) -> Column:
     """Hash and position of every gram of ``text``, whose first character stands at ``offset``."""
-    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
     short = (F.length(text) < GRAM) & (F.length(text) > 0)
     if offset is not None:
         short &= offset == 0
