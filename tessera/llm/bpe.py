@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read_table, slices_of, spread_rows, text_or_empty
 
-CACHE_ENTRIES = 200_000
-SLICE_CHARS = 1 << 20
+CACHE_ENTRIES = 100_000
+SLICE_CHARS = 1 << 19
 
 
 def byte_characters() -> list[str]:
@@ -81,7 +81,7 @@ def model_bytes(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes texts; made once per Python worker from broadcast parts."""
+    """Encodes and decodes texts; made for each task, so that an idle worker holds no vocabulary."""
 
     def __init__(self, model: bytes, pattern: str):
         import regex
@@ -111,23 +111,13 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
-
-
-def _codec(model: bytes, pattern: str) -> Codec:
-    key = (hash(model), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model, pattern)
-    return _CODECS[key]
-
-
 def encoded(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
     """Struct of ``ids`` and ``decoded`` bytes of each text."""
     model = spark.sparkContext.broadcast(model_bytes(read_ranks(ranks_path)))
 
     @F.pandas_udf("struct<ids: array<int>, decoded: binary>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(model.value, pattern)
+        codec = Codec(model.value, pattern)
         for texts in batches:
             ids = [i for a, b in slices_of(texts.str.len(), SLICE_CHARS) for i in codec.encode(texts[a:b])]
             yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(i) for i in ids]})
@@ -144,7 +134,7 @@ def encoded_digests(spark: SparkSession, text: Column, ranks_path: str, pattern:
 
     @F.pandas_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(model.value, pattern)
+        codec = Codec(model.value, pattern)
         numbers = list(map(str, range(len(codec.pieces))))
         for texts in batches:
             rows = []
