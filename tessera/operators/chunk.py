@@ -77,13 +77,15 @@ def _route_expression(_application: str) -> Column:
     return chunks_for_route(F.col("content"), F.col("route"))
 
 
-def chunk_documents(docs: DataFrame, limit: int = CHUNK_LIMIT_BYTES) -> DataFrame:
+def chunk_documents(docs: DataFrame, limit: int = CHUNK_LIMIT_BYTES, keep_blank: bool = False) -> DataFrame:
     """``(path, content[, language], ...)`` to one row per chunk.
 
+    Blank texts are dropped, unless ``keep_blank`` says that none is left.
+
     Everything is row-local: filter, projection, two explodes. The plan has no
     exchange, so it runs inside the scan's stage whatever the corpus size.
     """
-    routed = with_chunk_route(drop_blank(docs))
+    routed = with_chunk_route(docs if keep_blank else drop_blank(docs))
     expression = _route_expression(docs.sparkSession.sparkContext.applicationId)
     chunks = explode_chunks(routed, expression)
     return split_large(chunks, limit).drop("route").withColumnRenamed("path", "file_path")

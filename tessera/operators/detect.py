@@ -256,6 +256,8 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     inside the row, where sorting brings equal names together, so nothing is
     exchanged.
     """
+    # Of repeated keys the last counts; by default the parser refuses such a text.
+    manifests.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     content = F.col("content").cast("string")
     deps = (
         F.when(F.col("marker") == "go.mod", module_requirements(content))

@@ -20,6 +20,9 @@ Embedder = Callable[[list], Sequence[Sequence[float]]]
 class HashingEmbedder:
     """Signed feature hashing of tokens, scaled to unit length.
 
+    A token's hash is the number in the first 15 digits of its MD5, so any engine
+    can compute the same vectors: slot by remainder, sign by bit 58.
+
     Tokens are cut and hashed by built-in functions; only the hashes reach
     Python, where a batch is summed into vectors at once.
     """
@@ -28,7 +31,7 @@ class HashingEmbedder:
         self.size = size
 
     def features(self, text: Column) -> Column:
-        return F.transform(tokens_of(text), lambda t: F.xxhash64(t))
+        return F.transform(tokens_of(text), lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long"))
 
     def __call__(self, batch: list) -> np.ndarray:
         lengths = np.array([len(h) for h in batch], dtype=np.int64)
@@ -39,7 +42,7 @@ class HashingEmbedder:
         n = len(lengths)
         row = np.repeat(np.arange(n, dtype=np.int64), lengths)
         slot = np.mod(hashes, self.size)
-        sign = 1.0 - 2.0 * ((hashes >> 62) & 1)
+        sign = 1.0 - 2.0 * ((hashes >> 58) & 1)
         sums = np.bincount(row * self.size + slot, weights=sign, minlength=n * self.size)
         vectors = sums.reshape(n, self.size)
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)

@@ -47,7 +47,7 @@ def _hash_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         epoch_nanos(F.col("ts")).alias("mod_time_ns"),
         F.lit(False).alias("is_dir"),
     )
-    return directory_hash(files, collect_limit=1)
+    return directory_hash(files)
 
 
 def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,7 @@ SELECT '/p' || p_partkey::VARCHAR AS project_path, name, arg_max(version, n) AS
 
 
 def _package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event rows as package manifests, some of them malformed or mistyped."""
+    """Event rows as package manifests with repeated keys, some of them malformed or mistyped."""
     kind, key = F.col("event_type"), F.col("event_id").cast("string")
     first = (
         F.when(kind == "error", F.lit("7"))
@@ -157,8 +157,8 @@ def _package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('"^'), F.col("user_id").cast("string"), F.lit('"')))
     )
     text = F.concat(
-        F.lit('{"name": "n", "Dependencies": {"a": '), first, F.lit(', "b": "1"}, "devDependencies": {"b": "2", "c'),
-        key, F.lit('": "x"}, "props": '), F.col("props"),
+        F.lit('{"name": "n", "Dependencies": {"d": "1", "a": '), first, F.lit(', "b": "1", "d": "9"}, "devDependencies": {"b": "2", "c'),
+        key, F.lit('": "x"}, "name": "again", "props": '), F.col("props"),
         F.when(kind == "purchase", F.lit(",}")).otherwise(F.lit("}")),
     )
     manifests = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props")).select(
@@ -171,6 +171,7 @@ _PACKAGE_SQL = """
 WITH good AS (SELECT '/e' || event_id::VARCHAR AS project_path, * FROM events WHERE event_type NOT IN ('error', 'purchase'))
 SELECT project_path, 'a' AS name, CASE WHEN event_type = 'view' THEN '' ELSE '^' || user_id::VARCHAR END AS version FROM good
 UNION ALL SELECT project_path, 'b', '2' FROM good
+UNION ALL SELECT project_path, 'd', '9' FROM good
 UNION ALL SELECT project_path, 'c' || event_id::VARCHAR, 'x' FROM good"""
 
 

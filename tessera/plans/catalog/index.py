@@ -274,8 +274,9 @@ def _embedded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vectors = embed(spread(docs), "text", HashingEmbedder(64))
-    squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return vectors.select("doc_id", F.size("embedding").alias("dims"), F.round(squared, 3).alias("norm"))
+    return vectors.select("doc_id", F.posexplode("embedding").alias("slot", "value")).withColumn(
+        "value", F.col("value").cast("double")
+    )
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +315,16 @@ FROM ({documents_as_sql('text')}) GROUP BY 1""",
     "e01_batch_embedding": """
 SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces,
        (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS newlines FROM documents""",
+    "e03_hashing_embedder": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_\p{L}\p{N}]+')) AS token FROM documents
+), h AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 15))::BIGINT AS h FROM t),
+c AS (SELECT doc_id, h % 64 AS slot, sum(1 - 2 * ((h >> 58) & 1)) AS n FROM h GROUP BY 1, 2),
+s AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS size FROM c GROUP BY 1)
+SELECT d.doc_id, k.slot::INTEGER AS slot,
+       CASE WHEN coalesce(s.size, 0) = 0 THEN 0 ELSE coalesce(c.n, 0)::DOUBLE / s.size END::FLOAT::DOUBLE AS value
+FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS slot) k
+LEFT JOIN c ON c.doc_id = d.doc_id AND c.slot = k.slot LEFT JOIN s ON s.doc_id = d.doc_id""",
     "e02_query_embedding": """
 SELECT item_id AS query_id, CASE WHEN length(text) % 3 <> 0 THEN length(text)::DOUBLE END AS chars,
        CASE WHEN length(text) % 3 = 0 THEN 'cannot embed an empty text' END AS error FROM benchmark""",

@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import base_name
+from tessera.functions.paths import base_name, prefixes
 from tessera.operators.change import changed_roots, diff_files, directory_hash, with_change_flag
-from tessera.operators.chunk import chunk_documents
+from tessera.operators.chunk import chunk_documents, drop_blank
 from tessera.operators.detect import (
     UNKNOWN,
     dependencies,
@@ -83,7 +83,8 @@ def document_rows(
         docs = with_language(docs)
     if projects is not None:
         docs = with_project(docs, projects)
-    chunks = chunk_documents(redact(docs))
+    # blank texts go first: a filter after redaction would repeat all of its work
+    chunks = chunk_documents(redact(drop_blank(docs)), keep_blank=True)
     if embedder is not None:
         chunks = embed(chunks, "content", embedder)
     return build_index_rows(chunks, now=now)
@@ -125,11 +126,17 @@ def run_index(
     Roots whose hash is unchanged are left out before any content is read.
     Inside the others only added and modified files are read, and the chunks of
     modified, deleted and newly ignored files are removed. A file that cannot be
-    read goes to the errors table and its root stays due for the next run.
+    read, or a folder that cannot be listed, goes to the errors table and its root
+    stays due for the next run; what was indexed below such a folder stays. A text
+    that is not UTF-8 is indexed with replacement characters. Links to folders are
+    hashed but not read. The errors of a run are a folder of their own, so a
+    repeated run writes them once.
     """
     roots = [r.rstrip("/") for r in roots]
     root_table = spark.createDataFrame([(r,) for r in roots], "root string")
-    tree = persist_table(list_tree(spark, roots, hidden=True), "tree")
+    listed_tree = persist_table(list_tree(spark, roots, hidden=True, errors=True), "tree")
+    unlisted = listed_tree.filter(F.col("error").isNotNull()).select("root", "path", "error")
+    tree = listed_tree.filter(F.col("error").isNull()).drop("error")
     stored = read_metadata(spark, workspace.metadata_path)
     hashes = persist_table(changed_roots(directory_hash(tree, root_table), stored), "hashes")
     due = hashes.select("root")
@@ -148,10 +155,20 @@ def run_index(
     # Roots may overlap: a path counts once, and it is not gone while a root
     # that did not change still shows it.
     differences = diff_files(previous.dropDuplicates(["path"]), visible.dropDuplicates(["path"]))
+    # What an unlisted folder holds is unknown, hence not gone either.
     elsewhere = kept.select("path", F.lit(True).alias("_elsewhere")).distinct()
+    hidden = persist_table(
+        previous.withColumn("_above", F.explode(prefixes(F.col("path"), False)))
+        .join(unlisted.select(F.col("path").alias("_above")), "_above", "left_semi")
+        .select(*FILES.names)
+        .distinct(),
+        "unlisted",
+    )
+    unknown = hidden.select("path", F.lit(True).alias("_unknown")).distinct()
     changes = persist_table(
         differences.join(elsewhere, "path", "left")
-        .filter((F.col("change") != "deleted") | F.col("_elsewhere").isNull())
+        .join(unknown, "path", "left")
+        .filter((F.col("change") != "deleted") | (F.col("_elsewhere").isNull() & F.col("_unknown").isNull()))
         .select("path", "change"),
         "changes",
     )
@@ -167,20 +184,22 @@ def run_index(
     # text to index and errors to report.
     contents = persist_table(loaded, "contents")
     texts = (
-        drop_binary(contents.filter(F.col("error").isNull()))
-        .select("path", F.decode("content", "UTF-8").alias("content"))
+        drop_binary(contents.filter(F.col("content").isNotNull()))
+        .select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     )
     rows = document_rows(texts, embedder, now, projects)
     gone = changes.filter(F.col("change") != "added").select(F.col("path").alias("file_path"))
     workspace.store.apply(updates=rows, deletes=gone)
 
-    errors = contents.filter(F.col("error").isNotNull()).select("root", "path", "error")
-    errors.withColumn("at", F.lit(now)).write.mode("append").json(workspace.errors_path)
+    errors = contents.filter(F.col("error").isNotNull()).select("root", "path", "error").unionByName(unlisted)
+    errors.write.mode("overwrite").json(f"{workspace.errors_path}/at={now}")
     failed_roots = errors.select("root").distinct().withColumn("_failed", F.lit(True))
 
     manifests = load_content(
         todo.filter(~F.col("is_dir")).join(
-            projects.filter(F.col("marker").isin("go.mod", "package.json")).select(
+            projects.filter(F.col("marker").isin("go.mod", "package.json"))
+            .join(root_table.withColumnRenamed("root", "project_path"), "project_path", "left_semi")
+            .select(
                 F.concat_ws("/", "project_path", "marker").alias("path"), "project_path", "marker"
             ),
             "path",
@@ -201,7 +220,8 @@ def run_index(
         )
     )
     indexed = visible.join(errors.select("path"), "path", "left_anti").select(*FILES.names)
-    write_listing(kept.unionByName(indexed), workspace.listing_path)
+    still = hidden.join(indexed.select("path"), "path", "left_anti").select(*FILES.names)
+    write_listing(kept.unionByName(indexed).unionByName(still), workspace.listing_path)
     write_metadata(merge_metadata(stored, fresh_metadata), workspace.metadata_path)
 
     listed = previous.select("root", "path").unionByName(visible.select("root", "path")).distinct()

@@ -32,13 +32,16 @@ def local_session(cores: int | str = "*", app: str = "tessera", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is made and remembered in the session.
+    Only where the setting is absent and all runs on one machine a temporary folder
+    is made and remembered in the session; elsewhere its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("tessera.shared.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.shared.dir", folder)
     return folder.rstrip("/")

@@ -20,6 +20,7 @@ from tessera.schema import FILES
 FORMAT = "corpus_tree"
 _ROWS = 2_000
 _BATCH_BYTES = 16 << 20
+_LARGEST = (1 << 31) - (1 << 20)
 
 
 def _is_url(path: str) -> bool:
@@ -30,35 +31,45 @@ def _local(path: str) -> str:
     return path[len("file://") :] if path.startswith("file://") else path
 
 
-def _children(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+def _children(folder: str) -> list[tuple[str, bool, int, int]]:
     """``(path, is_dir, size, mtime_ns)`` of a folder's entries; links are leaves.
 
-    An unreadable folder yields nothing, so one bad folder does not stop a run.
+    Raises ``OSError`` if the folder or one of its entries can't be looked at.
     """
     if _is_url(folder):
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(folder)
         prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
-        try:
-            infos = system.get_file_info(fs.FileSelector(inner))
-        except OSError:
-            return
-        for info in infos:
-            is_dir = info.type == fs.FileType.Directory
-            yield prefix + info.path, is_dir, info.size or 0, info.mtime_ns or 0
-        return
-    try:
-        with os.scandir(folder) as entries:
-            for entry in entries:
-                try:
-                    stat = entry.stat(follow_symlinks=False)
-                    is_dir = entry.is_dir(follow_symlinks=False)
-                except OSError:
-                    continue
-                yield entry.path, is_dir, 0 if is_dir else stat.st_size, stat.st_mtime_ns
-    except OSError:
-        return
+        return [
+            (prefix + info.path, info.type == fs.FileType.Directory, info.size or 0, info.mtime_ns or 0)
+            for info in system.get_file_info(fs.FileSelector(inner))
+        ]
+    out = []
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            try:
+                stat = entry.stat(follow_symlinks=False)
+            except FileNotFoundError:  # removed since the folder was read
+                continue
+            is_dir = entry.is_dir(follow_symlinks=False)
+            out.append((entry.path, is_dir, 0 if is_dir else stat.st_size, stat.st_mtime_ns))
+    return out
+
+
+def _check_root(root: str) -> bool:
+    """Whether the root is a folder; a root that does not exist is an error, whatever its scheme."""
+    if _is_url(root):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(root)
+        kind = system.get_file_info(inner).type
+        if kind == fs.FileType.NotFound:
+            raise FileNotFoundError(root)
+        return kind == fs.FileType.Directory
+    if not os.path.exists(root):
+        raise FileNotFoundError(root)
+    return os.path.isdir(root)
 
 
 def _read_bytes(path: str) -> bytes:
@@ -90,6 +101,7 @@ class TreeReader(DataSourceReader):
         self.roots = [r.rstrip("/") for r in options["path"].split("\n")]
         self.hidden = options.get("hidden", "false").lower() == "true"
         self.fanout = int(options.get("fanout", "64"))
+        self.errors = options.get("errors", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         """Open folders level by level until there is one for every task.
@@ -99,21 +111,24 @@ class TreeReader(DataSourceReader):
         """
         out: list[InputPartition] = []
         for root in self.roots:
-            if not _is_url(root):
-                root = os.path.abspath(_local(root))
-                if not os.path.exists(root):
-                    raise FileNotFoundError(root)
-                if not os.path.isdir(root):
-                    continue
+            root = root if _is_url(root) else os.path.abspath(_local(root))
+            if not _check_root(root):
+                continue
             level, opened = [root], []
             while level and len(level) < self.fanout:
                 opened += level
-                level = [
-                    path
-                    for folder in level
-                    for path, is_dir, _, _ in _children(folder)
-                    if is_dir and (self.hidden or not os.path.basename(path).startswith("."))
-                ]
+                below = []
+                for folder in level:
+                    try:
+                        entries = _children(folder)
+                    except OSError:  # the task that lists the folder reports it
+                        continue
+                    below += [
+                        path
+                        for path, is_dir, _, _ in entries
+                        if is_dir and (self.hidden or not os.path.basename(path).startswith("."))
+                    ]
+                level = below
             out += _batches(root, opened, False, self.fanout // 8)
             out += _batches(root, level, True, self.fanout)
         return out or [_Folders("", [], False)]
@@ -128,6 +143,7 @@ class TreeReader(DataSourceReader):
                 ("mod_time_ns", pa.int64()),
                 ("is_dir", pa.bool_()),
             ]
+            + [("error", pa.string())] * self.errors
         )
         rows: list[tuple] = []
 
@@ -139,9 +155,18 @@ class TreeReader(DataSourceReader):
 
         stack = list(partition.folders)
         skip = len(partition.root) + 1
+        none = (None,) * self.errors
         while stack:
-            for path, is_dir, size, mtime in _children(stack.pop()):
-                rows.append((partition.root, path, path[skip:], size, mtime, is_dir))
+            folder = stack.pop()
+            try:
+                entries = _children(folder)
+            except OSError as problem:
+                if not self.errors:
+                    raise
+                rows.append((partition.root, folder, folder[skip:], 0, 0, True, str(problem)))
+                continue
+            for path, is_dir, size, mtime in entries:
+                rows.append((partition.root, path, path[skip:], size, mtime, is_dir, *none))
                 hidden = os.path.basename(path).startswith(".")
                 if is_dir and partition.deep and (self.hidden or not hidden):
                     stack.append(path)
@@ -157,17 +182,23 @@ class TreeSource(DataSource):
         return FORMAT
 
     def schema(self):
-        return FILES
+        if dict(self.options).get("errors", "false").lower() != "true":
+            return FILES
+        return T.StructType(FILES.fields + [T.StructField("error", T.StringType())])
 
     def reader(self, schema) -> DataSourceReader:
         return TreeReader(dict(self.options))
 
 
-def list_tree(spark: SparkSession, roots: str | list[str], hidden: bool = False, fanout: int = 64) -> DataFrame:
+def list_tree(
+    spark: SparkSession, roots: str | list[str], hidden: bool = False, fanout: int = 64, errors: bool = False
+) -> DataFrame:
     """Every entry below the roots, folders included.
 
     Hidden folders are reported but entered only with ``hidden``. Rows carry the
-    root and the path relative to it.
+    root and the path relative to it. A missing root is an error. So is a folder
+    that can't be listed, unless ``errors`` asks for a column of that name: the
+    folder then has a further row with the reason.
     """
     spark.dataSource.register(TreeSource)
     roots = [roots] if isinstance(roots, str) else list(roots)
@@ -175,6 +206,7 @@ def list_tree(spark: SparkSession, roots: str | list[str], hidden: bool = False,
         spark.read.format(FORMAT)
         .option("hidden", str(hidden).lower())
         .option("fanout", str(fanout))
+        .option("errors", str(errors).lower())
         .load("\n".join(roots))
     )
 
@@ -188,7 +220,8 @@ def load_content(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """Add ``content`` and ``error`` by reading each file once, in the tasks.
 
     A file that cannot be read keeps its row with ``error`` set, so that one bad
-    file does not fail the job. ``tasks`` deals the files out by hash first.
+    file does not fail the job; so does one too large for a binary value. A link to
+    a folder has neither content nor error. ``tasks`` deals the files out by hash first.
     """
     kept = files.columns
     out = T.StructType(
@@ -207,7 +240,11 @@ def load_content(files: DataFrame, tasks: int | None = None) -> DataFrame:
             for i, path in enumerate(batch.column("path").to_pylist()):
                 try:
                     content, error = _read_bytes(path), None
-                except OSError as problem:
+                    if len(content) > _LARGEST:
+                        content, error = None, f"{len(content)} bytes are more than a value can hold"
+                except IsADirectoryError:
+                    content, error = None, None
+                except (OSError, MemoryError) as problem:
                     content, error = None, str(problem)
                 contents.append(content)
                 errors.append(error)

@@ -99,6 +99,59 @@ def test_unreadable_file_is_reported_and_retried(spark, tmp_path):
     assert run_status(spark, [str(root)], space).first().state == "up to date"
 
 
+def test_malformed_text_and_links_do_not_stop_a_run(spark, tmp_path):
+    root = tmp_path / "r"
+    put(root, "latin.txt", "caf\xe9 au lait".encode("latin-1"))
+    put(root, "sub/good.txt", "fine")
+    os.symlink(root / "sub", root / "link")
+    space = Workspace(spark, str(tmp_path / "space"), buckets=2)
+    run_index(spark, [str(root)], space, now=1)
+    got = {os.path.basename(r.file_path): r.content for r in space.store.read().collect()}
+    assert got == {"latin.txt": "caf\ufffd au lait", "good.txt": "fine"}
+    assert run_status(spark, [str(root)], space).first().state == "up to date"
+    assert run_index(spark, [str(root)], space, now=2).count() == 0
+
+
+def test_unlisted_folder_deletes_nothing(spark, tmp_path, monkeypatch):
+    import tessera.plans.jobs as jobs
+
+    root, listed = tmp_path / "r", jobs.list_tree
+    put(root, "top.txt", "top")
+    put(root, "sub/low.txt", "low")
+    put(root, "old.txt", "old")
+    space = Workspace(spark, str(tmp_path / "space"), buckets=2)
+    run_index(spark, [str(root)], space, now=1)
+    (root / "old.txt").unlink()
+
+    def failing(spark, roots, **options):
+        rows = listed(spark, roots, **options)
+        cause = F.when(F.col("rel_path") == "sub", "no access")
+        return rows.filter(~F.col("rel_path").startswith("sub/")).withColumn("error", cause)
+
+    monkeypatch.setattr(jobs, "list_tree", failing)
+    for now in (2, 2, 3):
+        run_index(spark, [str(root)], space, now=now)
+        names = {os.path.basename(r.file_path) for r in space.store.read().collect()}
+        assert names == {"top.txt", "low.txt"}
+    errors = spark.read.json(space.errors_path).collect()
+    assert sorted((r["at"], r.error) for r in errors) == [(2, "no access"), (3, "no access")]
+    monkeypatch.setattr(jobs, "list_tree", listed)
+    assert run_status(spark, [str(root)], space).first().state == "changes detected"
+    run_index(spark, [str(root)], space, now=4)
+    assert {os.path.basename(r.file_path) for r in space.store.read().collect()} == {"top.txt", "low.txt"}
+    assert run_status(spark, [str(root)], space).first().state == "up to date"
+
+
+def test_shared_folder_is_required_off_one_machine(spark):
+    from types import SimpleNamespace
+
+    from tessera.session import shared_folder
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(far)
+
+
 def test_overlapping_roots(spark, tmp_path):
     outer, inner = tmp_path / "o", tmp_path / "o" / "i"
     put(outer, "top.txt", "top")
