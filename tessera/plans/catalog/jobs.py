@@ -12,7 +12,7 @@ from tessera.plans.catalog.chunking import chunk_ctes
 from tessera.plans.catalog.filters import redact_sql
 from tessera.plans.catalog.index import ID_SQL, chunk_index, root_metadata
 from tessera.plans.catalog.shapes import documents_as, documents_as_sql, table
-from tessera.plans.jobs import index_documents, status
+from tessera.plans.jobs import Workspace, index_documents, run_index, status
 from tessera.session import fresh_path
 from tessera.sources.store import IndexStore
 from tessera.streaming.arrivals import stream_index
@@ -87,6 +87,46 @@ SELECT source || '/' || lang || '/latest.txt' AS path,
 FROM documents GROUP BY source, lang"""
 
 
+def _tree_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a tree of files, one folder each, indexed by the whole job in two runs.
+
+    The second run finds the documents that came after the first, the labelled ones.
+    """
+    docs = table(spark, sf_dir, "documents").join(
+        table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled")).distinct(), "doc_id", "left"
+    )
+    base = fresh_path(spark, "tree-job")
+    local = base[len("file:") :] if base.startswith("file:/") and "://" not in base else base
+    space = Workspace(spark, f"{base}-space", buckets=8)
+
+    def arrive(part: DataFrame) -> None:
+        part.select("lang", "doc_id", "text").write.mode("append").partitionBy("lang", "doc_id").text(base)
+
+    arrive(docs.filter(F.col("labelled").isNull()))
+    run_index(spark, [local], space, now=1)
+    arrive(docs.filter("labelled"))
+    run_index(spark, [local], space, now=2)
+    path = F.col("file_path")
+    return (
+        space.store.read()
+        .filter(path.like("%/part-%"))
+        .select(
+            F.regexp_extract(path, "lang=([^/]*)/doc_id=", 1).alias("lang"),
+            F.regexp_extract(path, "/doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"),
+            "start_line", "end_line", "chunk_type", "content", "last_indexed",
+        )
+        .filter("lang <> ''")
+    )
+
+
+_TREE_JOB_DOCS = f"""
+SELECT lang || '/' || doc_id::VARCHAR AS path, {redact_sql('text')} || chr(10) AS content FROM documents"""
+_TREE_JOB_SQL = f"""{chunk_ctes('text', _TREE_JOB_DOCS)}
+SELECT split_part(file_path, '/', 1) AS lang, split_part(file_path, '/', 2)::BIGINT AS doc_id, start_line, end_line, chunk_type, content,
+       CASE WHEN split_part(file_path, '/', 2)::BIGINT IN (SELECT doc_id FROM labels) THEN 2 ELSE 1 END::BIGINT AS last_indexed
+FROM chunks"""
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("/c"), F.col("c_custkey").cast("string")).alias("root")
@@ -114,6 +154,7 @@ QUERIES = {
     "b02_incremental_index": _incremental,
     "b04_status": _status,
     "b05_streaming_index": _stream,
+    "b06_tree_index": _tree_job,
 }
 
 SQL = {
@@ -122,5 +163,6 @@ SQL = {
     ),
     "b02_incremental_index": _indexed_sql("text", _LATER_DOCS, "unknown", _REVISED, -1).replace("-1::INTEGER", "NULL::INTEGER"),
     "b04_status": _STATUS_SQL,
+    "b06_tree_index": _TREE_JOB_SQL,
     "b05_streaming_index": _indexed_sql("text", _STREAM_DOCS, "unknown", "5::BIGINT", 16),
 }
