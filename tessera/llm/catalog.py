@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, minhash, mixing, passages, pii, quality, substring, toxicity, winnowing
+from tessera.llm import bpe, exact_dedup, minhash, mixing, oracles, passages, pii, quality, substring, toxicity, winnowing
 
 QUERIES = {
     "op1_suffix_array": substring.op1_suffix_array,
@@ -17,4 +17,8 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+SQL = {
+    "op5_minhash": oracles.OP5_SQL,
+    "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op10_mixing": oracles.OP10_SQL,
+}
