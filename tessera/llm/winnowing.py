@@ -26,7 +26,7 @@ from tessera.functions.text import let
 from tessera.llm.common import read_table, text_or_empty
 
 GRAM, WINDOW = 12, 32
-BUCKET_ROWS, MOST_BUCKETS = 4_000, 4_096
+BUCKET_ROWS, MOST_BUCKETS, STEP = 4_000, 1 << 18, 64
 NO_ID = -(1 << 63)
 _LAST = (1 << 31) - 1
 
@@ -119,15 +119,18 @@ def with_next(rows: DataFrame, *columns: str) -> DataFrame:
 
     Rows are dealt to ranges of keys whose bounds are keys themselves, so the row that
     starts a range is known by its key; a copy of it closes the range before. One
-    exchange, no join, and no task holds more than a range.
+    exchange, no join, and no task holds more than a range: ``BUCKET_ROWS`` rows, or a
+    ``MOST_BUCKETS``-th of a table of over a billion. A row finds its range in two steps.
     """
     count = rows.count()
     wanted = min(MOST_BUCKETS, count // BUCKET_ROWS + 1)
     shares = [i / wanted for i in range(wanted)]
-    ends = rows.agg(F.percentile_approx("key", shares, 10 * MOST_BUCKETS).alias("cuts"), F.min("key").alias("least")).first()
+    cuts = F.percentile_approx("key", shares, max(10_000, 10 * wanted))
+    ends = rows.agg(cuts.alias("cuts"), F.min("key").alias("least")).first()  # as many keys as ranges
     bounds = sorted({*(ends["cuts"] or []), ends["least"] if count else 0})
-    table = F.lit(bounds)
-    bucket = F.size(F.filter(table, lambda b: b <= F.col("key"))) - 1
+    table, coarse = F.lit(bounds), F.lit(bounds[::STEP])
+    start = (F.size(F.filter(coarse, lambda b: b <= F.col("key"))) - 1) * STEP
+    bucket = start + F.size(F.filter(F.slice(table, start + 1, F.lit(STEP)), lambda b: b <= F.col("key"))) - 1
     before = F.when(F.col("bucket") > 0, F.col("bucket") - 1).otherwise(F.lit(len(bounds) - 1))
     dealt = rows.withColumn("bucket", bucket)
     first = F.col("key") == F.get(table, F.col("bucket"))

@@ -44,6 +44,7 @@ def neighbours(rows):
 @pytest.mark.parametrize("bucket_rows", [4_000, 3])
 def test_op8_edits_and_likeness(spark, docs_of, table, monkeypatch, bucket_rows):
     monkeypatch.setattr(winnowing, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(winnowing, "STEP", 4)
     rng = random.Random(2)
     rows = [(7 * k - 20, "".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(0, 400)))) for k in range(25)]
     rows += [(1000, rows[3][1]), (1001, ""), (1002, ""), (1003, "x" * 500)]
