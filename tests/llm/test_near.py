@@ -166,3 +166,21 @@ def test_a_chunked_hub_covers_all_its_candidates(spark, docs_of, table, monkeypa
 def test_short_texts_have_sequences(text):
     (seq,), count = passages.sequences([text.encode()])
     assert count[0] == len(text.split()) and len(seq) == (1 if text.split() else 0)
+
+
+def test_every_two_texts_with_a_passage_are_linked(spark, docs_of, table, monkeypatch):
+    rng = random.Random(12)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    common, other = fresh(60), fresh(55)
+    # 0 has every shingle of the second passage, but never 50 words of it in a row
+    pieces = [w for k in range(0, 51, 9) for w in other[k : k + 13] + fresh(20)]
+    rows = [pieces] + [fresh(40) + common + fresh(30) for _ in range(9)] + [fresh(30) + other + fresh(30) for _ in range(4)]
+    rows += [rows[-1]]
+    for chunk in (512, 3):
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+        got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
+        assert [got[i]["n_links"] for i in range(15)] == [0] + [8] * 9 + [4] * 5
+        assert [got[i]["class_id"] for i in range(15)] == [0] + [1] * 9 + [10] * 5
