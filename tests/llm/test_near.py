@@ -184,3 +184,25 @@ def test_every_two_texts_with_a_passage_are_linked(spark, docs_of, table, monkey
         got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
         assert [got[i]["n_links"] for i in range(15)] == [0] + [8] * 9 + [4] * 5
         assert [got[i]["class_id"] for i in range(15)] == [0] + [1] * 9 + [10] * 5
+
+
+def test_window_keys_of_two_passages_differ_once_in_a_million():
+    assert (1 - passages.PERCENT / 100) ** passages.HASHES <= 1e-6
+
+
+def test_passages_of_just_fifty_words_are_found_beside_frequent_lines(spark, docs_of, table):
+    rng = random.Random(13)
+    vocabulary = [f"v{k}" for k in range(3_000)]
+
+    def fresh(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    pairs, rows = [fresh(50) for _ in range(40)], []
+    # every shingle of a passage also stands in some earlier text that holds 25 words of it
+    for p in pairs:
+        rows += [fresh(30) + p[k : k + 25] + fresh(30) for k in (0, 13, 25)] + [fresh(20) + p[k : k + 25] + fresh(20) for k in (5, 18)]
+    n = len(rows)
+    for _ in range(2):
+        rows += [fresh(40) + p + fresh(40) for p in pairs]
+    got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
+    assert all(got[i]["n_covered"] >= 50 and got[i]["n_links"] == 1 for i in range(n, n + 80))
