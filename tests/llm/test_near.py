@@ -206,3 +206,24 @@ def test_passages_of_just_fifty_words_are_found_beside_frequent_lines(spark, doc
         rows += [fresh(40) + p + fresh(40) for p in pairs]
     got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
     assert all(got[i]["n_covered"] >= 50 and got[i]["n_links"] == 1 for i in range(n, n + 80))
+
+
+def test_all_places_of_a_repeated_line_or_passage_are_found():
+    rng = np.random.default_rng(14)
+    a, b = (rng.integers(0, 1 << 60, 400).astype(np.uint64) for _ in range(2))
+    b[200:246] = a[50:96]
+    b[20:28] = a[50:58]
+    assert passages.shared_passages(a, b) == [(50, 96, 200, 246)]
+    assert passages.shared_passages(b, a) == [(200, 246, 50, 96)]
+    b[300:346] = a[50:96]
+    assert sorted(passages.shared_passages(a, b)) == [(50, 96, 200, 246), (50, 96, 300, 346)]
+
+
+def test_runs_of_repeated_shingles_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(15)
+    a, b = rng.integers(0, 3, 60).astype(np.uint64), rng.integers(0, 3, 50).astype(np.uint64)
+    order = np.argsort(b, kind="stable")
+    want = passages.exact_runs(a, b, order, b[order])
+    assert sum(n for _, _, n in want) == (a[:, None] == b[None, :]).sum()
+    monkeypatch.setattr(passages, "MATCHES", 40)
+    assert passages.exact_runs(a, b, order, b[order]) == want
