@@ -11,7 +11,8 @@ Defined results: null and empty texts hold no n-gram and get the model's interce
 as their score; repeated rows get equal scores; a null id has a null ``held_out``
 and is never learnt from; without labelled rows, or with one class only, every
 score is the share of label 1 (0.5 without rows). Other columns are not looked at.
-At most ``FIT_ROWS`` labelled rows, ``FIT_CHARS`` characters in total, are learnt from.
+At most ``FIT_ROWS`` labelled rows, ``FIT_CHARS`` characters in total, are learnt from,
+near copies within a label once; the model has ``KEPT`` columns.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_of_id, fit_sample, persist_table, read_table, slices_of, spread_rows, text_or_empty
+from tessera.llm.minhash import near_components
 
 FIT_ROWS, FIT_CHARS = 20_000, 80_000_000
 THRESHOLD = 0.7
@@ -149,21 +151,19 @@ def _fit_logistic(row, position, value, y, columns, penalty=3e-4, steps=60, memo
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """One row per label and longest word.
+    """One row per label and class of near-duplicate texts, as ``near_components`` finds them.
 
-    Copies, near ones too, share their longest word. Left in, a few copies of one
-    toxic text would make all its n-grams look like marks of toxicity.
+    Left in, a few copies of one toxic text would make all its n-grams look like marks
+    of toxicity. Texts that only share a word or a line all stay.
     """
-    words = F.transform(F.split("text", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    keyed = sample.withColumn("longest", F.array_max(words)["w"])
-    chosen = keyed.groupBy("y", "longest").agg(F.min("id").alias("id"))
+    alike = near_components(sample, id_col="id").select("id", "component")
+    chosen = sample.select("id", "y").join(alike, "id").groupBy("y", "component").agg(F.min("id").alias("id"))
     return sample.join(chosen.select("id"), "id", "left_semi")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, train: Column) -> LinearModel:
-    sample = persist_table(
-        spread_rows(without_copies(fit_sample(docs, labels, label, train, FIT_ROWS, FIT_CHARS))), "toxicity-sample"
-    )
+    drawn = persist_table(fit_sample(docs, labels, label, train, FIT_ROWS, FIT_CHARS), "toxicity-drawn")
+    sample = persist_table(spread_rows(without_copies(drawn)), "toxicity-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     kept = np.full(COLUMNS, -1, np.int64)
     no, yes = sizes.get(0, 0), sizes.get(1, 0)

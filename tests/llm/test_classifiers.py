@@ -86,3 +86,11 @@ def test_fit_sample_is_bounded(spark, docs_of):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
     assert fit_sample(docs, labels, "quality", F.lit(True), 20, 10_000).count() == 20
     assert fit_sample(docs, labels, "quality", F.lit(True), 20, 55).count() == 5
+
+
+def test_only_copies_are_left_out_of_the_training_rows(spark):
+    line = "https://example.org/a-very-long-address-that-many-texts-hold"
+    texts = [f"{line} " + " ".join(f"t{i}w{k}" for k in range(30)) for i in range(12)]
+    rows = [(i, t, i % 2) for i, t in enumerate(texts)] + [(20, texts[0].upper(), 0), (21, texts[0], 1), (22, texts[2] + " more", 0)]
+    kept = toxicity.without_copies(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert sorted(r["id"] for r in kept.collect()) == [*range(12), 21]
