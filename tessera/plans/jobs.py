@@ -49,15 +49,20 @@ _TASK_BYTES = 128 << 20
 
 @dataclass
 class Workspace:
-    """Where an index and the state around it live."""
+    """Where an index and the state around it live.
+
+    ``compact_after`` says from how many segments on a run folds them into the base;
+    a run that finds fewer rewrites nothing that is stored.
+    """
 
     spark: SparkSession
     path: str
     buckets: int = 64
+    compact_after: int = 16
 
     @property
     def store(self) -> IndexStore:
-        return IndexStore(self.spark, f"{self.path}/index", self.buckets)
+        return IndexStore(self.spark, f"{self.path}/index", self.buckets, postings=True)
 
     @property
     def metadata_path(self) -> str:
@@ -97,6 +102,7 @@ def index_documents(
     now: int = 0,
     projects: DataFrame | None = None,
     seq_col: str | None = None,
+    batch: tuple[str, int] | None = None,
 ) -> None:
     """Index a document table, replacing all earlier chunks of its paths.
 
@@ -110,7 +116,7 @@ def index_documents(
     elif seq_col:
         docs = docs.drop(seq_col)
     rows = document_rows(docs, embedder, now, projects)
-    store.apply(updates=rows, deletes=docs.select(F.col("path").alias("file_path")))
+    store.apply(updates=rows, deletes=docs.select(F.col("path").alias("file_path")), batch=batch)
 
 
 def run_index(
@@ -189,7 +195,10 @@ def run_index(
     )
     rows = document_rows(texts, embedder, now, projects)
     gone = changes.filter(F.col("change") != "added").select(F.col("path").alias("file_path"))
-    workspace.store.apply(updates=rows, deletes=gone)
+    store = workspace.store
+    store.apply(updates=rows, deletes=gone)
+    if store.segments() >= workspace.compact_after:
+        store.compact()
 
     errors = contents.filter(F.col("error").isNotNull()).select("root", "path", "error").unionByName(unlisted)
     errors.write.mode("overwrite").json(f"{workspace.errors_path}/at={now}")

@@ -1,107 +1,237 @@
-"""The chunk index on disk: hash buckets, rewritten only where touched."""
+"""The chunk index on disk: segments of changes, merged when they are read."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.operators.index import delete_paths, latest, upsert
+from tessera.operators.index import latest
+from tessera.operators.postings import POSTINGS, Postings, postings_of, text_vectors
 from tessera.schema import INDEX
-from tessera.session import persist_table
 from tessera.sources.versioned import list_names, new_version, read_pointer, write_pointer
 
 DEFAULT_BUCKETS = 64
 
+_GONE = T.StructType([T.StructField("file_path", T.StringType())])
+_VECTOR = T.StructType(
+    [
+        T.StructField("terms", T.ArrayType(T.StringType())),
+        T.StructField("tfs", T.ArrayType(T.IntegerType())),
+        T.StructField("length", T.LongType()),
+    ]
+)
+_STORED = T.StructType([*INDEX.fields, *_VECTOR.fields])
+
 
 class IndexStore:
     """Parquet index of a single writer and any number of readers.
 
-    A chunk's bucket follows from its file path, and its id from file path and
-    start line, so replacing and deleting both stay inside the buckets of the
-    files concerned. A change rewrites those buckets into a new version folder
-    and publishes a pointer from bucket to version; other buckets keep theirs.
+    A change adds a segment: the rows it brings, their postings, and the file paths
+    whose earlier chunks it removes. Nothing stored is written again, so a change
+    costs what it brings. A reader merges: rows of older segments that a newer one
+    removes or replaces are left out by anti joins, and only in buckets that a newer
+    segment touches; a bucket follows from the file path, which also fixes the bucket
+    of a chunk's id. ``compact`` folds segments into the touched buckets' base.
+
+    A segment becomes visible by one pointer file. Readers keep the segments they
+    opened. A batch that names its source and number is applied once.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS, postings: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
-        self._buckets = buckets
+        self._buckets, self._postings = buckets, postings
+
+    # --- state ------------------------------------------------------------------
 
     def ensure(self) -> bool:
         """Create an empty index; false and no change if there is one."""
         if read_pointer(self.spark, self.path) is not None:
             return False
-        write_pointer(self.spark, self.path, {"buckets": self._buckets, "versions": {}})
+        state = {"buckets": self._buckets, "postings": self._postings, "base": {}, "segments": [], "batches": {}}
+        write_pointer(self.spark, self.path, state)
         return True
 
     def _state(self) -> dict:
         self.ensure()
         return read_pointer(self.spark, self.path)
 
+    def segments(self) -> int:
+        """Changes since the last compaction."""
+        return len(self._state()["segments"])
+
     def _bucket(self, state: dict) -> Column:
         return F.pmod(F.xxhash64("file_path"), F.lit(state["buckets"])).cast("int")
 
-    def _read(self, state: dict, buckets: set[int] | None = None) -> DataFrame:
-        paths = [
-            f"{self.path}/{version}/bucket={bucket}"
-            for bucket, version in state["versions"].items()
-            if buckets is None or int(bucket) in buckets
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], INDEX)
-        return self.spark.read.schema(INDEX).parquet(*paths)
+    # --- reading ----------------------------------------------------------------
+
+    def _open(self, kind: str, places: list[tuple[str, str]], schema: T.StructType) -> DataFrame | None:
+        """Rows of ``(version, bucket)`` folders of one kind."""
+        if not places:
+            return None
+        paths = [f"{self.path}/{version}/{kind}/bucket={bucket}" for version, bucket in places]
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _merged(self, state: dict, kind: str, schema: T.StructType, wanted: set[str] | None = None) -> DataFrame:
+        """Visible rows of ``rows`` or ``postings``, of all buckets or of those wanted."""
+        inside = lambda b: wanted is None or b in wanted
+        segments = state["segments"]
+        touched = {b for s in segments for b in (*s["rows"], *s["gone"])}
+        base = [(v, b) for b, v in state["base"].items() if inside(b)]
+        settled = self._open(kind, [(v, b) for v, b in base if b not in touched], schema)
+        parts = [] if settled is None else [settled]
+        layers = [(0, self._open(kind, [(v, b) for v, b in base if b in touched], schema))]
+        for n, s in enumerate(segments, 1):
+            layers.append((n, self._open(kind, [(s["version"], b) for b in s["rows"] if inside(b)], schema)))
+        older = [df.withColumn("_segment", F.lit(n)) for n, df in layers[:-1] if df is not None]
+        if older:
+            rows = reduce(DataFrame.unionByName, older)
+            if kind == "rows":
+                rows = self._uncovered(rows, state, wanted)
+            else:
+                ids = self._numbered("rows", state, T.StructType([INDEX["id"], INDEX["file_path"]]), wanted, last=False)
+                kept = self._uncovered(ids, state, wanted).select("id", "_segment")
+                rows = rows.join(kept, ["id", "_segment"], "left_semi")
+            parts.append(rows.select(*schema.names))
+        if layers[-1][1] is not None:  # nothing is newer than the last layer
+            parts.append(layers[-1][1])
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _numbered(self, kind: str, state: dict, schema: T.StructType, wanted: set[str] | None, last: bool) -> DataFrame:
+        """What touched buckets hold of ``kind``, with the number of its segment, the base being 0."""
+        segments = state["segments"]
+        touched = {b for s in segments for b in (*s["rows"], *s["gone"])}
+        inside = lambda b: wanted is None or b in wanted
+        found = []
+        if kind == "rows":
+            found.append((0, [(v, b) for b, v in state["base"].items() if b in touched and inside(b)]))
+        for n, s in enumerate(segments if last else segments[:-1], 1):
+            found.append((n, [(s["version"], b) for b in s[kind] if inside(b)]))
+        frames = [self._open(kind, p, schema).withColumn("_segment", F.lit(n)) for n, p in found if p]
+        empty = self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_segment", T.IntegerType())]))
+        return reduce(DataFrame.unionByName, frames) if frames else empty
+
+    def _uncovered(self, rows: DataFrame, state: dict, wanted: set[str] | None) -> DataFrame:
+        """Rows whose path no newer segment removes and whose id none brings again."""
+        by_path = self._numbered("gone", state, _GONE, wanted, last=True)
+        by_path = by_path.groupBy(F.col("file_path").alias("_path")).agg(F.max("_segment").alias("_upto"))
+        by_id = self._numbered("rows", state, T.StructType([INDEX["id"]]), wanted, last=True).filter("_segment > 0")
+        by_id = by_id.groupBy(F.col("id").alias("_id")).agg(F.max("_segment").alias("_upto"))
+        kept = rows.join(by_path, (rows["file_path"] == by_path["_path"]) & (rows["_segment"] < by_path["_upto"]), "left_anti")
+        return kept.join(by_id, (kept["id"] == by_id["_id"]) & (kept["_segment"] < by_id["_upto"]), "left_anti")
 
     def read(self) -> DataFrame:
-        return self._read(self._state())
+        return self._merged(self._state(), "rows", INDEX)
+
+    def read_paths(self, paths: DataFrame) -> DataFrame:
+        """Chunks of a table of ``file_path``; only the buckets of these paths are opened."""
+        state = self._state()
+        wanted = {str(r.b) for r in paths.select(self._bucket(state).alias("b")).distinct().collect()}
+        return self._merged(state, "rows", INDEX, wanted).join(
+            paths.select("file_path").distinct(), "file_path", "left_semi"
+        ).select(*INDEX.names)
+
+    def read_postings(self) -> Postings:
+        """The stored postings and the length of every chunk."""
+        state = self._state()
+        if not state["postings"]:
+            raise ValueError("this index was created without postings")
+        sizes = self._merged(state, "rows", T.StructType([INDEX["id"], INDEX["file_path"], _STORED["length"]]))
+        return Postings(self._merged(state, "postings", POSTINGS), sizes.select("id", "length"))
 
     def count(self) -> int:
         return self.read().count()
 
-    def apply(self, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
+    # --- writing ----------------------------------------------------------------
+
+    def _write(self, rows: DataFrame, version: str, kind: str) -> list[str]:
+        """Write rows that carry ``bucket``; gives the buckets that got any."""
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/{version}/{kind}")
+        names = list_names(self.spark, f"{self.path}/{version}/{kind}")
+        return [n[len("bucket=") :] for n in names if n.startswith("bucket=")]
+
+    def _write_rows(self, rows: DataFrame, version: str, state: dict) -> list[str]:
+        """Write index rows, and their postings where the index keeps them.
+
+        Rebalancing splits a bucket that one huge file dominates into several
+        output files and merges small ones.
+        """
+        rows = rows.select(*INDEX.names, self._bucket(state).alias("bucket"))
+        if state["postings"]:
+            rows = text_vectors(rows, *INDEX.names[1:], "bucket")
+        buckets = self._write(rows.hint("rebalance", "bucket"), version, "rows")
+        if buckets and state["postings"]:
+            # From what was just written, so that rows are computed once; a task's rows
+            # are of one bucket or few, so nothing is exchanged. Sorted by term, a search
+            # reads only the row groups of its terms.
+            folder = f"{self.path}/{version}/rows"
+            kept = T.StructType([INDEX["id"], *_VECTOR.fields, T.StructField("bucket", T.IntegerType())])
+            written = self.spark.read.schema(kept).parquet(folder)
+            terms = postings_of(written, "bucket").sortWithinPartitions("bucket", "term")
+            self._write(terms, version, "postings")
+        return buckets
+
+    def apply(
+        self,
+        updates: DataFrame | None = None,
+        deletes: DataFrame | None = None,
+        batch: tuple[str, int] | None = None,
+    ) -> bool:
         """Delete the chunks of ``deletes.file_path``, then put in ``updates``.
 
         The ids of ``updates`` are distinct, as they are for chunks of distinct
-        files; ``upsert`` takes any rows.
+        files; ``upsert`` takes any rows. Both steps become visible together.
 
-        Both steps become visible together. The same call made again leaves the
-        index as it is, so an interrupted run can simply be repeated.
+        ``batch`` names where the change comes from and its number there: a number
+        that is not above the last one applied changes nothing and gives false.
+        Without it the same call made again leaves the same visible index.
         """
         state = self._state()
-        bucket = self._bucket(state)
+        if batch and state["batches"].get(batch[0], -1) >= batch[1]:
+            return False
+        version, segment = new_version(), {"rows": [], "gone": []}
+        filled = bool(state["base"] or state["segments"])
+        if deletes is not None and filled:  # an empty index has nothing to remove
+            paths = deletes.select("file_path").where(F.col("file_path").isNotNull()).distinct()
+            gone = paths.withColumn("bucket", self._bucket(state)).hint("rebalance", "bucket")
+            segment["gone"] = self._write(gone, version, "gone")
         if updates is not None:
-            # Written out once: the updates are read for their buckets, for the
-            # replaced ids and for the new rows.
-            updates = persist_table(updates.select(*INDEX.names), "updates")
-        sides = [df.select(bucket.alias("b")) for df in (updates, deletes) if df is not None]
-        if not sides:
-            return
-        touched_rows = sides[0] if len(sides) == 1 else sides[0].union(sides[1])
-        touched = {r.b for r in touched_rows.distinct().collect()}
-        if not touched:
-            return
-        if any(int(b) in touched for b in state["versions"]):
-            rows = self._read(state, touched)
-            if deletes is not None:
-                rows = delete_paths(rows, deletes)
-            if updates is not None:
-                rows = upsert(rows, updates)
-        elif updates is not None:
-            rows = updates
-        else:
-            return
+            segment["rows"] = self._write_rows(updates, version, state)
+        if batch:
+            state["batches"][batch[0]] = batch[1]
+        if segment["rows"] and not filled:
+            state["base"] = {b: version for b in segment["rows"]}
+        elif segment["rows"] or segment["gone"]:
+            state["segments"].append({"version": version, **segment})
+        elif not batch:
+            return False
+        write_pointer(self.spark, self.path, state)
+        return True
+
+    def compact(self, buckets: int | None = None) -> bool:
+        """Fold all segments into the base, rewriting the buckets they touch.
+
+        With another number of ``buckets`` every row is dealt anew. False and no
+        change if there is nothing to fold.
+        """
+        state = self._state()
+        anew = buckets is not None and buckets != state["buckets"]
+        touched = {b for s in state["segments"] for b in (*s["rows"], *s["gone"])}
+        if anew:
+            touched |= set(state["base"])
+        if not touched and not anew:
+            return False
+        rows = self._merged(state, "rows", INDEX, touched)
+        fresh = {**state, "buckets": buckets if anew else state["buckets"], "segments": []}
         version = new_version()
-        # Rebalancing splits a bucket that one huge file dominates into several
-        # output files and merges small ones.
-        rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy(
-            "bucket"
-        ).parquet(f"{self.path}/{version}")
-        versions = {b: v for b, v in state["versions"].items() if int(b) not in touched}
-        versions.update({b: version for b in self._written_buckets(version)})
-        write_pointer(self.spark, self.path, {"buckets": state["buckets"], "versions": versions})
-
-    def _written_buckets(self, version: str) -> list[str]:
-        """Buckets of a version that hold rows, from its folder names."""
-        names = list_names(self.spark, f"{self.path}/{version}")
-        return [n[len("bucket=") :] for n in names if n.startswith("bucket=")]
+        written = self._write_rows(rows, version, fresh)
+        fresh["base"] = {b: v for b, v in state["base"].items() if b not in touched} | {b: version for b in written}
+        write_pointer(self.spark, self.path, fresh)
+        return True
 
     def upsert(self, updates: DataFrame, seq_col: str | None = None) -> None:
         """Put in ``updates``; of several rows with one id the last counts."""

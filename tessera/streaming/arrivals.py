@@ -25,14 +25,19 @@ def stream_index(
 ) -> StreamingQuery:
     """Index a stream of ``(path, content[, language])`` documents.
 
-    Each micro-batch replaces the chunks of its paths, which gives the same
-    index when a batch is run again after a failure. ``seq_col`` orders several
-    versions of one path inside a batch.
+    Each micro-batch replaces the chunks of its paths by one segment, marked with the
+    query's id and the batch's number: a batch that is run again after a failure is
+    left out if its segment was published, and published if not. ``seq_col`` orders
+    several versions of one path inside a batch.
     """
 
-    def on_batch(batch: DataFrame, _number: int) -> None:
+    def on_batch(batch: DataFrame, number: int) -> None:
+        # the id is kept in the checkpoint and so outlives restarts
+        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         arrived = persist_table(batch, "arrivals")
-        index_documents(arrived, store, embedder, clock(), seq_col=seq_col)
+        index_documents(
+            arrived, store, embedder, clock(), seq_col=seq_col, batch=(source, number) if source else None
+        )
 
     writer = docs.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()

@@ -1,5 +1,7 @@
 """Index records, upserts, deletes and the store."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,13 +105,83 @@ def test_repeated_ids_leave_one_row(spark, tmp_path):
     assert contents(store.read()) == {("a", 1): "v4"} and store.count() == 1
 
 
-def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+def parquet_files(path):
+    return {str(f) for f in path.rglob("*.parquet")}
+
+
+def test_a_change_writes_only_what_it_brings(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"), buckets=16)
     store.upsert(records(spark, [(f"f{i}", 1, "t") for i in range(200)]))
-    before = store._state()["versions"]
-    store.upsert(records(spark, [("f0", 1, "u")]))
-    after = store._state()["versions"]
-    assert len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
+    before = parquet_files(tmp_path)
+    store.apply(
+        updates=records(spark, [("f0", 1, "u")]), deletes=spark.createDataFrame([("f0",)], "file_path string")
+    )
+    added = parquet_files(tmp_path) - before
+    assert before <= parquet_files(tmp_path)
+    held = [(str(f), r.file_path) for f in added for r in spark.read.parquet(f).collect()]
+    assert {p for _, p in held} == {"f0"} and len(held) == 2
+    assert store.count() == 200 and contents(store.read())[("f0", 1)] == "u"
+
+
+def test_merging_equals_applying_one_by_one(spark, tmp_path):
+    """Random changes against a dictionary, read after each one, compacted now and then."""
+    rng = random.Random(8)
+    store, want = IndexStore(spark, str(tmp_path / "index"), buckets=3, postings=True), {}
+    for step in range(12):
+        gone = rng.sample([f"f{i}" for i in range(8)], rng.randint(0, 3))
+        puts = {(f"f{rng.randrange(8)}", rng.randrange(1, 4)): f"s{step} w{k}" for k in range(rng.randint(0, 4))}
+        store.apply(
+            updates=records(spark, [(*k, v) for k, v in puts.items()]) if puts else None,
+            deletes=spark.createDataFrame([(g,) for g in gone], "file_path string") if gone else None,
+        )
+        want = {k: v for k, v in want.items() if k[0] not in gone} | puts
+        assert contents(store.read()) == want and store.read().count() == len(want)
+        if step in (4, 9):
+            assert store.compact(buckets=5 if step == 9 else None) and store.segments() == 0
+            assert not store.compact()
+            assert contents(store.read()) == want
+        held = {(r.id, r.term, r.tf, r.length) for r in store.read_postings().postings.collect()}
+        ids = {(r.file_path, r.start_line): r.id for r in store.read().collect()}
+        assert held == {(ids[k], w, 1, 2) for k, v in want.items() for w in v.split()}
+        assert {(r.id, r.length) for r in store.read_postings().sizes.collect()} == {(i, 2) for i in ids.values()}
+
+
+def test_untouched_buckets_are_read_without_a_join(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=4)
+    store.upsert(records(spark, [(f"f{i}", 1, "t") for i in range(40)]))
+    assert "Join" not in store.read()._jdf.queryExecution().optimizedPlan().toString()
+    store.delete("f0")
+    plan = store.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and plan.count("Union") == 1 and store.count() == 39
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=2)
+    assert store.apply(updates=records(spark, [("a", 1, "x")]), batch=("feed", 0))
+    assert store.apply(updates=records(spark, [("a", 1, "y")]), batch=("feed", 1))
+    before = parquet_files(tmp_path)
+    assert not store.apply(updates=records(spark, [("a", 1, "x")]), batch=("feed", 0))
+    assert not store.apply(updates=records(spark, [("b", 1, "z")]), batch=("feed", 1))
+    assert store.apply(updates=records(spark, [("b", 1, "z")]), batch=("other", 0))
+    assert store.apply(updates=None, batch=("feed", 2)) and not store.apply(updates=None, batch=("feed", 2))
+    assert contents(store.read()) == {("a", 1): "y", ("b", 1): "z"} and before < parquet_files(tmp_path)
+
+
+def test_a_reader_keeps_its_segments(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=2)
+    store.upsert(records(spark, [("a", 1, "x"), ("b", 1, "y")]))
+    store.delete("a")
+    reader = store.read()
+    store.upsert(records(spark, [("b", 1, "z")]))
+    store.compact()
+    assert contents(reader) == {("b", 1): "y"} and contents(store.read()) == {("b", 1): "z"}
+
+
+def test_reading_paths_opens_their_buckets_only(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=32)
+    store.upsert(records(spark, [(f"f{i}", 1, f"t{i}") for i in range(300)]))
+    got = store.read_paths(spark.createDataFrame([("f3",), ("f3",), ("none",)], "file_path string"))
+    assert contents(got) == {("f3", 1): "t3"} and len(got.inputFiles()) <= 2
 
 
 def test_replacing_a_file_drops_its_stale_chunks(spark, tmp_path):

@@ -199,6 +199,25 @@ def test_stream(spark, tmp_path):
     assert drain() == {("b.txt", 1): "x", ("b.txt", 3): "y", ("c.txt", 1): "c"}
 
 
+def test_a_replayed_micro_batch_changes_nothing(spark, tmp_path):
+    inbox, schema = tmp_path / "in", "path string, content string, seq int"
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=2)
+    spark.createDataFrame([("a.txt", "one", 1)], schema).coalesce(1).write.parquet(str(inbox))
+
+    def drain(now):
+        docs = spark.readStream.schema(schema).parquet(str(inbox))
+        stream_index(docs, store, str(tmp_path / "cp"), None, "seq", clock=lambda: now, availableNow=True).awaitTermination()
+        return [(r.file_path, r.content, r.last_indexed) for r in store.read().collect()]
+
+    assert drain(1) == [("a.txt", "one", 1)]
+    # the batch was indexed, but the stream stopped before it noted so
+    for name in ("0", ".0.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    files = set((tmp_path / "index").rglob("*.parquet"))
+    # the replay computes its rows again and finds its number applied
+    assert drain(2) == [("a.txt", "one", 1)] and set((tmp_path / "index").rglob("*.parquet")) == files
+
+
 def test_updates_reach_the_store_once_computed(spark, tmp_path):
     """A source that gives other rows each time must not tear the index apart."""
     from tessera.operators.index import build_index_rows
