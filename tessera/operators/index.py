@@ -17,8 +17,9 @@ def build_index_rows(
     files: DataFrame | None = None,
     embeddings: DataFrame | None = None,
     now: int = 0,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Chunks to index records.
+    """Chunks to index records, with ``extra`` columns of the chunks.
 
     ``files`` brings ``project_path``, ``project_type`` and ``language`` by
     ``file_path`` and ``embeddings`` brings vectors by ``id``; either can be left
@@ -36,7 +37,7 @@ def build_index_rows(
             rows = rows.withColumn(name, F.lit("unknown" if name != "project_path" else ""))
     if "embedding" not in rows.columns:
         rows = rows.withColumn("embedding", F.lit(None))
-    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX.fields])
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX.fields], *extra)
 
 
 def latest(rows: DataFrame, key: str, seq_col: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from tessera.operators.detect import (
     with_language,
     with_project,
 )
-from tessera.operators.embed import Embedder, embed, embed_queries
+from tessera.operators.embed import Embedder, embed, embed_queries, embed_unseen
 from tessera.operators.filters import (
     drop_binary,
     drop_hidden,
@@ -29,6 +29,7 @@ from tessera.operators.filters import (
     ignore_rulesets,
 )
 from tessera.operators.index import build_index_rows, latest
+from tessera.operators.postings import Postings
 from tessera.operators.render import with_rendering
 from tessera.operators.search import hybrid_search, text_search, to_results
 from tessera.operators.secrets import redact
@@ -43,6 +44,7 @@ from tessera.sources.metadata import (
 )
 from tessera.sources.store import IndexStore
 from tessera.sources.tree import list_tree, load_content
+from tessera.sources.vectors import VectorCache
 
 _TASK_BYTES = 128 << 20
 
@@ -64,6 +66,11 @@ class Workspace:
     def store(self) -> IndexStore:
         return IndexStore(self.spark, f"{self.path}/index", self.buckets, postings=True)
 
+    def vectors(self, embedder: Embedder) -> VectorCache | None:
+        """Stored vectors of an embedder that has a ``name``; others are called for every text."""
+        name = getattr(embedder, "name", None)
+        return VectorCache(self.spark, f"{self.path}/vectors", name) if name else None
+
     @property
     def metadata_path(self) -> str:
         return f"{self.path}/metadata"
@@ -78,9 +85,13 @@ class Workspace:
 
 
 def document_rows(
-    docs: DataFrame, embedder: Embedder | None, now: int, projects: DataFrame | None = None
+    docs: DataFrame,
+    embedder: Embedder | None,
+    now: int,
+    projects: DataFrame | None = None,
+    cache: VectorCache | None = None,
 ) -> DataFrame:
-    """``(path, content[, language])`` to index records.
+    """``(path, content[, language])`` to index records, with ``error`` where an embedder is asked.
 
     Redaction comes before chunking, so no secret can straddle two pieces.
     """
@@ -90,9 +101,36 @@ def document_rows(
         docs = with_project(docs, projects)
     # blank texts go first: a filter after redaction would repeat all of its work
     chunks = chunk_documents(redact(drop_blank(docs)), keep_blank=True)
-    if embedder is not None:
-        chunks = embed(chunks, "content", embedder)
-    return build_index_rows(chunks, now=now)
+    if embedder is None:
+        return build_index_rows(chunks, now=now)
+    if cache is None:
+        chunks = embed(chunks, "content", embedder, error_col="error")
+    else:
+        chunks = embed_unseen(chunks, "content", embedder, cache)
+    return build_index_rows(chunks, now=now, extra=("error",))
+
+
+def apply_rows(
+    store: IndexStore, rows: DataFrame, deletes: DataFrame, batch: tuple[str, int] | None = None
+) -> DataFrame:
+    """Put index records in place of what ``deletes.file_path`` had; gives ``(file_path, error)``.
+
+    A file with a chunk that could not be embedded is left as it was: neither its new
+    chunks nor the removal of its old ones is applied, and the first of its errors is given.
+    """
+    spark = store.spark
+    if "error" not in rows.columns:
+        store.apply(updates=rows, deletes=deletes, batch=batch)
+        return spark.createDataFrame([], "file_path string, error string")
+    rows = persist_table(rows, "rows")
+    failed = persist_table(
+        rows.filter(F.col("error").isNotNull()).groupBy("file_path").agg(F.min("error").alias("error")), "failed"
+    )
+    if not failed.isEmpty():
+        rows = rows.join(failed.select("file_path"), "file_path", "left_anti")
+        deletes = deletes.join(failed.select("file_path"), "file_path", "left_anti")
+    store.apply(updates=rows, deletes=deletes, batch=batch)
+    return failed
 
 
 def index_documents(
@@ -103,20 +141,22 @@ def index_documents(
     projects: DataFrame | None = None,
     seq_col: str | None = None,
     batch: tuple[str, int] | None = None,
-) -> None:
+    cache: VectorCache | None = None,
+) -> DataFrame:
     """Index a document table, replacing all earlier chunks of its paths.
 
     Of several documents with one path the last counts, by ``seq_col`` or else
     by input order. A pass over the paths alone finds out whether there are any,
-    which spares tables of distinct paths an exchange of their texts.
+    which spares tables of distinct paths an exchange of their texts. Gives
+    ``(file_path, error)`` of the documents that the embedder failed on.
     """
     repeated = docs.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     if not repeated.isEmpty():
         docs = latest(docs, "path", seq_col)
     elif seq_col:
         docs = docs.drop(seq_col)
-    rows = document_rows(docs, embedder, now, projects)
-    store.apply(updates=rows, deletes=docs.select(F.col("path").alias("file_path")), batch=batch)
+    rows = document_rows(docs, embedder, now, projects, cache)
+    return apply_rows(store, rows, docs.select(F.col("path").alias("file_path")), batch)
 
 
 def run_index(
@@ -132,8 +172,10 @@ def run_index(
     Roots whose hash is unchanged are left out before any content is read.
     Inside the others only added and modified files are read, and the chunks of
     modified, deleted and newly ignored files are removed. A file that cannot be
-    read, or a folder that cannot be listed, goes to the errors table and its root
-    stays due for the next run; what was indexed below such a folder stays. A text
+    read or embedded, or a folder that cannot be listed, goes to the errors table and
+    its root stays due for the next run; what was indexed below such a folder, or of a
+    file that could not be embedded, stays. Texts whose vectors are known from an
+    earlier run of an embedder with the same name are not embedded again. A text
     that is not UTF-8 is indexed with replacement characters. Links to folders are
     hashed but not read. The errors of a run are a folder of their own, so a
     repeated run writes them once.
@@ -193,14 +235,20 @@ def run_index(
         drop_binary(contents.filter(F.col("content").isNotNull()))
         .select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     )
-    rows = document_rows(texts, embedder, now, projects)
+    cache = workspace.vectors(embedder) if embedder else None
+    rows = document_rows(texts, embedder, now, projects, cache)
     gone = changes.filter(F.col("change") != "added").select(F.col("path").alias("file_path"))
     store = workspace.store
-    store.apply(updates=rows, deletes=gone)
+    unembedded = apply_rows(store, rows, gone).select(F.col("file_path").alias("path"), "error")
     if store.segments() >= workspace.compact_after:
         store.compact()
 
-    errors = contents.filter(F.col("error").isNotNull()).select("root", "path", "error").unionByName(unlisted)
+    errors = (
+        contents.filter(F.col("error").isNotNull())
+        .select("root", "path", "error")
+        .unionByName(unlisted)
+        .unionByName(visible.select("root", "path").join(unembedded, "path"))
+    )
     errors.write.mode("overwrite").json(f"{workspace.errors_path}/at={now}")
     failed_roots = errors.select("root").distinct().withColumn("_failed", F.lit(True))
 
@@ -229,7 +277,9 @@ def run_index(
         )
     )
     indexed = visible.join(errors.select("path"), "path", "left_anti").select(*FILES.names)
-    still = hidden.join(indexed.select("path"), "path", "left_anti").select(*FILES.names)
+    # what a file had before the embedder failed on it is still there
+    outdated = previous.join(unembedded.select("path"), "path", "left_semi").select(*FILES.names)
+    still = hidden.unionByName(outdated).join(indexed.select("path"), "path", "left_anti").select(*FILES.names).distinct()
     write_listing(kept.unionByName(indexed).unionByName(still), workspace.listing_path)
     write_metadata(merge_metadata(stored, fresh_metadata), workspace.metadata_path)
 
@@ -242,16 +292,18 @@ def search(
     index: DataFrame,
     embedder: Embedder | None = None,
     limit: int = SEARCH_LIMIT,
+    postings: Postings | None = None,
 ) -> DataFrame:
     """``(query_id, query)`` to ranked results with their rendering.
 
-    With an embedder the ranking is hybrid, without one it is text only.
+    With an embedder the ranking is hybrid, without one it is text only. A query that
+    cannot be embedded has no result. With ``postings`` the text leg reads no text.
     """
     if embedder is None:
-        hits = text_search(queries, index, limit)
+        hits = text_search(queries, index, limit, postings)
     else:
         embedded = embed_queries(queries.select("query_id", "query"), embedder)
-        hits = hybrid_search(embedded.filter(F.col("error").isNull()), index, limit)
+        hits = hybrid_search(embedded.filter(F.col("error").isNull()), index, limit, postings)
     return with_rendering(to_results(hits, index))
 
 

@@ -4,7 +4,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from tessera.operators.embed import HashingEmbedder, embed, embed_queries
+from tessera.operators.embed import HashingEmbedder, embed, embed_queries, embed_unseen
+from tessera.sources.vectors import VectorCache
 
 
 def lengths(texts):
@@ -31,6 +32,43 @@ def test_wrong_number_of_vectors(spark):
         embed(df, "text", lambda texts: [[1.0]] * (len(texts) + 1)).collect()
 
 
+def picky(texts):
+    if any("bad" in t for t in texts):
+        raise ConnectionError("refused")
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_errors_stay_with_their_rows(spark):
+    texts = ["a", "bad one", "", None, "cc", "ddd", "bad"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    got = {r.n: (r.embedding, r.error) for r in embed(df, "text", picky, 3, error_col="error").collect()}
+    assert got[0] == ([1.0, 1.0], None) and got[4] == ([2.0, 1.0], None) and got[5] == ([3.0, 1.0], None)
+    assert got[1] == got[6] == (None, "ConnectionError: refused")
+    assert got[2] == got[3] == (None, "cannot embed an empty text")
+    assert embed(df.limit(0), "text", picky, error_col="error").count() == 0
+
+
+def test_only_unseen_texts_are_embedded(spark, tmp_path):
+    cache = VectorCache(spark, str(tmp_path), "picky/1")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return picky(texts)
+
+    def run(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+        return {r.n: (r.embedding, r.error) for r in embed_unseen(df, "text", counted, cache).collect()}
+
+    first = run(["a", "bb", "a", "", None])
+    assert first[0] == first[2] == ([1.0, 1.0], None) and first[3][1] == first[4][1] == "cannot embed an empty text"
+    assert calls.value == 2
+    assert run(["bb", "a"])[0] == ([2.0, 1.0], None) and calls.value == 2
+    again = run(["ccc", "bad", "a"])
+    assert again[0] == ([3.0, 1.0], None) and again[1] == (None, "ConnectionError: refused") and again[2][0] == [1.0, 1.0]
+    assert cache.read().count() == 3 and VectorCache(spark, str(tmp_path), "other").read().count() == 0
+
+
 def test_queries(spark):
     df = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "query_id int, query string")
     got = {r.query_id: (r.embedding, r.error) for r in embed_queries(df, lengths, 3).collect()}

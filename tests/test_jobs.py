@@ -152,6 +152,68 @@ def test_shared_folder_is_required_off_one_machine(spark):
         shared_folder(far)
 
 
+class Picky:
+    """Fails on texts that hold a word; counts the texts it is asked for."""
+
+    name = "picky"
+
+    def __init__(self, spark, word):
+        self.word, self.calls = word, spark.sparkContext.accumulator(0)
+
+    def __call__(self, texts):
+        self.calls.add(len(texts))
+        if self.word and any(self.word in t for t in texts):
+            raise TimeoutError("no answer")
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_a_failing_embedder_leaves_the_rest_indexed(spark, tmp_path):
+    root = tmp_path / "r"
+    put(root, "a.txt", "fine")
+    put(root, "b.txt", "old text\n\nand more")
+    space = Workspace(spark, str(tmp_path / "space"), buckets=2)
+    run_index(spark, [str(root)], space, Picky(spark, ""), now=1)
+
+    def held():
+        return {(os.path.basename(r.file_path), r.start_line): r.content for r in space.store.read().collect()}
+
+    put(root, "b.txt", "poison", time.time_ns() + 10**9)
+    put(root, "c.txt", "new")
+    run_index(spark, [str(root)], space, Picky(spark, "poison"), now=2)
+    # the file it failed on is as it was, and is tried again
+    assert held() == {("a.txt", 1): "fine", ("b.txt", 1): "old text", ("b.txt", 3): "and more", ("c.txt", 1): "new"}
+    errors = spark.read.json(f"{space.errors_path}/at=2").collect()
+    assert [(os.path.basename(r.path), r.error) for r in errors] == [("b.txt", "TimeoutError: no answer")]
+    assert run_status(spark, [str(root)], space).first().state == "changes detected"
+    run_index(spark, [str(root)], space, Picky(spark, ""), now=3)
+    assert held() == {("a.txt", 1): "fine", ("b.txt", 1): "poison", ("c.txt", 1): "new"}
+    assert run_status(spark, [str(root)], space).first().state == "up to date"
+
+
+def test_moved_files_are_not_embedded_again(spark, tmp_path):
+    root = tmp_path / "r"
+    for i in range(6):
+        put(root, f"old/f{i}.txt", f"text {i}")
+    space, embedder = Workspace(spark, str(tmp_path / "space"), buckets=2), Picky(spark, "")
+    run_index(spark, [str(root)], space, embedder, now=1)
+    assert embedder.calls.value == 6
+    (root / "old").rename(root / "new")
+    run_index(spark, [str(root)], space, embedder, now=2)
+    rows = space.store.read().collect()
+    assert embedder.calls.value == 6 and len(rows) == 6
+    assert all("/new/" in r.file_path and r.embedding == [6.0, 1.0] for r in rows)
+
+
+def test_many_runs_are_compacted(spark, tmp_path):
+    root = tmp_path / "r"
+    space = Workspace(spark, str(tmp_path / "space"), buckets=2, compact_after=2)
+    for i in range(4):
+        put(root, f"f{i}.txt", f"text {i}")
+        run_index(spark, [str(root)], space, now=i)
+        assert space.store.segments() < 2
+    assert space.store.count() == 4
+
+
 def test_overlapping_roots(spark, tmp_path):
     outer, inner = tmp_path / "o", tmp_path / "o" / "i"
     put(outer, "top.txt", "top")
