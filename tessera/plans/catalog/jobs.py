@@ -15,6 +15,7 @@ from tessera.plans.catalog.shapes import documents_as, documents_as_sql, table
 from tessera.plans.jobs import Workspace, index_documents, run_index, status
 from tessera.session import fresh_path
 from tessera.sources.store import IndexStore
+from tessera.sources.vectors import VectorCache
 from tessera.streaming.arrivals import stream_index
 
 _FIELDS = ["id", "file_path", "language", "chunk_type", "start_line", "end_line", "content", "last_indexed"]
@@ -90,7 +91,8 @@ FROM documents GROUP BY source, lang"""
 def _tree_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a tree of files, one folder each, indexed by the whole job in two runs.
 
-    The second run finds the documents that came after the first, the labelled ones.
+    The second run finds the documents that came after the first, the labelled ones,
+    and an ignore file that hides one language from then on.
     """
     docs = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled")).distinct(), "doc_id", "left"
@@ -105,6 +107,13 @@ def _tree_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrive(docs.filter(F.col("labelled").isNull()))
     run_index(spark, [local], space, now=1)
     arrive(docs.filter("labelled"))
+    rules = spark.createDataFrame([("# generated\nlang=de/",)], "value string")
+    rules.coalesce(1).write.text(f"{base}-rules")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(f"{base}-rules")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    (written,) = [s.getPath() for s in system.globStatus(hadoop.Path(f"{base}-rules/part-*"))]
+    system.rename(written, hadoop.Path(f"{base}/.gitignore"))
     run_index(spark, [local], space, now=2)
     path = F.col("file_path")
     return (
@@ -120,13 +129,46 @@ def _tree_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TREE_JOB_DOCS = f"""
-SELECT lang || '/' || doc_id::VARCHAR AS path, {redact_sql('text')} || chr(10) AS content FROM documents"""
+SELECT lang || '/' || doc_id::VARCHAR AS path, {redact_sql('text')} || chr(10) AS content FROM documents WHERE lang <> 'de'"""
 _TREE_JOB_SQL = f"""{chunk_ctes('text', _TREE_JOB_DOCS)}
 SELECT split_part(file_path, '/', 1) AS lang, split_part(file_path, '/', 2)::BIGINT AS doc_id, start_line, end_line, chunk_type, content,
        CASE WHEN split_part(file_path, '/', 2)::BIGINT IN (SELECT doc_id FROM labels) THEN 2 ELSE 1 END::BIGINT AS last_indexed
 FROM chunks"""
 
 
+class _Lengths:
+    """Texts as their lengths."""
+
+    name = "lengths"
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t))] for t in texts]
+
+
+class _Unreachable(_Lengths):
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        raise ConnectionError("no embedder here")
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents move while the embedder is out of reach: their vectors are stored."""
+    docs = documents_as(spark, sf_dir, "text")
+    base = fresh_path(spark, "moved")
+    store, cache = IndexStore(spark, f"{base}/index", buckets=8), VectorCache(spark, f"{base}/vectors", _Lengths.name)
+    index_documents(docs, store, _Lengths(), now=1, cache=cache)
+    later = docs.withColumn("path", F.concat(F.lit("moved/"), "path"))
+    index_documents(later, store, _Unreachable(), now=2, cache=cache)
+    store.delete(docs.select(F.col("path").alias("file_path")))
+    return store.read().select(
+        "id", "file_path", "start_line", "last_indexed", F.col("embedding")[0].cast("double").alias("chars")
+    )
+
+
+_MOVED_DOCS = f"""SELECT 'moved/' || path AS path, {redact_sql('content')} AS content FROM ({documents_as_sql('text')})"""
+_MOVED_SQL = f"""{chunk_ctes('text', _MOVED_DOCS)}
+SELECT {ID_SQL} AS id, file_path, start_line, 2::BIGINT AS last_indexed, length(content)::DOUBLE AS chars FROM chunks"""
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("/c"), F.col("c_custkey").cast("string")).alias("root")
@@ -155,6 +197,7 @@ QUERIES = {
     "b04_status": _status,
     "b05_streaming_index": _stream,
     "b06_tree_index": _tree_job,
+    "e04_vector_reuse": _moved,
 }
 
 SQL = {
@@ -164,5 +207,6 @@ SQL = {
     "b02_incremental_index": _indexed_sql("text", _LATER_DOCS, "unknown", _REVISED, -1).replace("-1::INTEGER", "NULL::INTEGER"),
     "b04_status": _STATUS_SQL,
     "b06_tree_index": _TREE_JOB_SQL,
+    "e04_vector_reuse": _MOVED_SQL,
     "b05_streaming_index": _indexed_sql("text", _STREAM_DOCS, "unknown", "5::BIGINT", 16),
 }

@@ -182,7 +182,7 @@ def run_index(
     """
     roots = [r.rstrip("/") for r in roots]
     root_table = spark.createDataFrame([(r,) for r in roots], "root string")
-    listed_tree = persist_table(list_tree(spark, roots, hidden=True, errors=True), "tree")
+    listed_tree = list_tree(spark, roots, hidden=True, errors=True)
     unlisted = listed_tree.filter(F.col("error").isNotNull()).select("root", "path", "error")
     tree = listed_tree.filter(F.col("error").isNull()).drop("error")
     stored = read_metadata(spark, workspace.metadata_path)

@@ -1,4 +1,4 @@
-"""Directory trees on shared storage as a Spark data source.
+"""Directory trees on shared storage as tables.
 
 Spark's own file index leaves out names that begin with a dot or underscore and
 empty files, all of which belong to a corpus; hence a lister of its own.
@@ -6,6 +6,7 @@ empty files, all of which belong to a corpus; hence a lister of its own.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -13,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.schema import FILES
+from tessera.session import persist_table
 
-FORMAT = "corpus_tree"
+FOLDER_ENTRIES = 10_000
+TASK_FOLDERS = 4
 _ROWS = 2_000
 _BATCH_BYTES = 16 << 20
 _LARGEST = (1 << 31) - (1 << 20)
@@ -31,8 +34,8 @@ def _local(path: str) -> str:
     return path[len("file://") :] if path.startswith("file://") else path
 
 
-def _children(folder: str) -> list[tuple[str, bool, int, int]]:
-    """``(path, is_dir, size, mtime_ns)`` of a folder's entries; links are leaves.
+def _children(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """``(path, is_dir, size, mtime_ns)`` of a folder's entries, as they are read; links are leaves.
 
     Raises ``OSError`` if the folder or one of its entries can't be looked at.
     """
@@ -41,11 +44,9 @@ def _children(folder: str) -> list[tuple[str, bool, int, int]]:
 
         system, inner = fs.FileSystem.from_uri(folder)
         prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
-        return [
-            (prefix + info.path, info.type == fs.FileType.Directory, info.size or 0, info.mtime_ns or 0)
-            for info in system.get_file_info(fs.FileSelector(inner))
-        ]
-    out = []
+        for info in system.get_file_info(fs.FileSelector(inner)):
+            yield prefix + info.path, info.type == fs.FileType.Directory, info.size or 0, info.mtime_ns or 0
+        return
     with os.scandir(folder) as entries:
         for entry in entries:
             try:
@@ -53,8 +54,7 @@ def _children(folder: str) -> list[tuple[str, bool, int, int]]:
             except FileNotFoundError:  # removed since the folder was read
                 continue
             is_dir = entry.is_dir(follow_symlinks=False)
-            out.append((entry.path, is_dir, 0 if is_dir else stat.st_size, stat.st_mtime_ns))
-    return out
+            yield entry.path, is_dir, 0 if is_dir else stat.st_size, stat.st_mtime_ns
 
 
 def _check_root(root: str) -> bool:
@@ -83,137 +83,101 @@ def _read_bytes(path: str) -> bytes:
         return stream.read()
 
 
-class _Folders(InputPartition):
-    """Folders one task lists: whole subtrees, or just their own entries."""
+def _entered(path: str, hidden: bool) -> bool:
+    return hidden or not os.path.basename(path).startswith(".")
 
-    def __init__(self, root: str, folders: list[str], deep: bool):
-        self.root, self.folders, self.deep = root, folders, deep
 
+def _walk(root: str, folder: str, hidden: bool, errors: bool, entries: int) -> Iterator[tuple]:
+    """Rows of ``_LISTED`` for what is below a folder, in batches of entries read as they come.
 
-def _batches(root: str, folders: list[str], deep: bool, count: int) -> list[_Folders]:
-    """Folders dealt round-robin into at most ``count`` partitions."""
-    count = min(len(folders), max(1, count))
-    return [_Folders(root, folders[i::count], deep) for i in range(count)]
+    After about ``entries`` of them folders not yet opened are given as such, for others to list.
+    """
+    stack, skip, seen = [folder], len(root) + 1, 0
+    while stack:
+        at = stack.pop()
+        if seen >= entries:
+            yield root, at, at[skip:], 0, 0, True, None, True
+            continue
+        try:
+            for path, is_dir, size, mtime in _children(at):
+                seen += 1
+                yield root, path, path[skip:], size, mtime, is_dir, None, False
+                if is_dir and _entered(path, hidden):
+                    stack.append(path)
+        except OSError as problem:
+            if not errors:
+                raise
+            yield root, at, at[skip:], 0, 0, True, str(problem), False
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.roots = [r.rstrip("/") for r in options["path"].split("\n")]
-        self.hidden = options.get("hidden", "false").lower() == "true"
-        self.fanout = int(options.get("fanout", "64"))
-        self.errors = options.get("errors", "false").lower() == "true"
+_LISTED = T.StructType(
+    [*FILES.fields, T.StructField("error", T.StringType()), T.StructField("unopened", T.BooleanType())]
+)
 
-    def partitions(self) -> list[InputPartition]:
-        """Open folders level by level until there is one for every task.
 
-        The planner looks at folders only, and at no more levels than it takes
-        to have ``fanout`` of them; the rest of the tree is walked in the tasks.
-        """
-        out: list[InputPartition] = []
-        for root in self.roots:
-            root = root if _is_url(root) else os.path.abspath(_local(root))
-            if not _check_root(root):
-                continue
-            level, opened = [root], []
-            while level and len(level) < self.fanout:
-                opened += level
-                below = []
-                for folder in level:
-                    try:
-                        entries = _children(folder)
-                    except OSError:  # the task that lists the folder reports it
-                        continue
-                    below += [
-                        path
-                        for path, is_dir, _, _ in entries
-                        if is_dir and (self.hidden or not os.path.basename(path).startswith("."))
-                    ]
-                level = below
-            out += _batches(root, opened, False, self.fanout // 8)
-            out += _batches(root, level, True, self.fanout)
-        return out or [_Folders("", [], False)]
-
-    def read(self, partition: _Folders) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [
-                ("root", pa.string()),
-                ("path", pa.string()),
-                ("rel_path", pa.string()),
-                ("size", pa.int64()),
-                ("mod_time_ns", pa.int64()),
-                ("is_dir", pa.bool_()),
-            ]
-            + [("error", pa.string())] * self.errors
-        )
+def _list_folders(folders: DataFrame, hidden: bool, errors: bool, entries: int) -> DataFrame:
+    schema = to_arrow_schema(_LISTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [()] * len(schema)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema
-            )
-
-        stack = list(partition.folders)
-        skip = len(partition.root) + 1
-        none = (None,) * self.errors
-        while stack:
-            folder = stack.pop()
-            try:
-                entries = _children(folder)
-            except OSError as problem:
-                if not self.errors:
-                    raise
-                rows.append((partition.root, folder, folder[skip:], 0, 0, True, str(problem)))
-                continue
-            for path, is_dir, size, mtime in entries:
-                rows.append((partition.root, path, path[skip:], size, mtime, is_dir, *none))
-                hidden = os.path.basename(path).startswith(".")
-                if is_dir and partition.deep and (self.hidden or not hidden):
-                    stack.append(path)
-                if len(rows) >= _ROWS:
-                    yield batch()
-                    rows.clear()
+            arrays = [pa.array(c, t) for c, t in zip(columns, schema.types)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        for given in batches:
+            for root, folder in zip(given.column("root").to_pylist(), given.column("path").to_pylist()):
+                for row in _walk(root, folder, hidden, errors, entries):
+                    rows.append(row)
+                    if len(rows) >= _ROWS:
+                        yield batch()
         yield batch()
 
-
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def schema(self):
-        if dict(self.options).get("errors", "false").lower() != "true":
-            return FILES
-        return T.StructType(FILES.fields + [T.StructField("error", T.StringType())])
-
-    def reader(self, schema) -> DataSourceReader:
-        return TreeReader(dict(self.options))
+    return folders.select("root", "path").mapInArrow(run, _LISTED)
 
 
 def list_tree(
-    spark: SparkSession, roots: str | list[str], hidden: bool = False, fanout: int = 64, errors: bool = False
+    spark: SparkSession,
+    roots: str | list[str],
+    hidden: bool = False,
+    errors: bool = False,
+    entries: int = FOLDER_ENTRIES,
 ) -> DataFrame:
     """Every entry below the roots, folders included.
 
+    The tree is listed round by round. A round is a table of folders, dealt out over
+    the tasks; a task walks each of its folders until it has seen about ``entries``
+    entries, and the folders it left unopened are the next round's table. So a small
+    or deep tree takes one round, a wide one is spread anew in each, and no folder
+    name passes the driver.
+
     Hidden folders are reported but entered only with ``hidden``. Rows carry the
     root and the path relative to it. A missing root is an error. So is a folder
     that can't be listed, unless ``errors`` asks for a column of that name: the
     folder then has a further row with the reason.
     """
-    spark.dataSource.register(TreeSource)
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    return (
-        spark.read.format(FORMAT)
-        .option("hidden", str(hidden).lower())
-        .option("fanout", str(fanout))
-        .option("errors", str(errors).lower())
-        .load("\n".join(roots))
-    )
-
-
-def list_files(spark: SparkSession, roots: str | list[str], fanout: int = 64) -> DataFrame:
+    given = [r.rstrip("/") for r in ([roots] if isinstance(roots, str) else roots)]
+    given = [r if _is_url(r) else os.path.abspath(_local(r)) for r in given]
+    starts = [(r, r) for r in given if _check_root(r)]
+    folders = spark.createDataFrame(starts, "root string, path string").repartition(max(1, len(starts)))
+    found = None
+    while True:
+        listed = persist_table(_list_folders(folders, hidden, errors, entries), "listing")
+        found = listed if found is None else found.unionByName(listed)
+        folders = listed.filter("unopened")
+        left = folders.count()
+        if not left:
+            break
+        folders = folders.repartition(math.ceil(left / TASK_FOLDERS), F.xxhash64("path"))
+    names = [*FILES.names, "error"] if errors else FILES.names
+    return found.filter(~F.col("unopened")).select(*names)
+
+
+def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     """Files below the roots that are not inside a hidden folder."""
-    return list_tree(spark, roots, hidden=False, fanout=fanout).filter(~F.col("is_dir"))
+    return list_tree(spark, roots, hidden=False).filter(~F.col("is_dir"))
 
 
 def load_content(files: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -21,15 +21,29 @@ def tree(tmp_path):
     return tmp_path / "t"
 
 
-@pytest.mark.parametrize("fanout", [1, 2, 64])
-def test_listing(spark, tree, fanout):
-    rows = {r.rel_path: r for r in list_files(spark, str(tree), fanout=fanout).collect()}
+def test_listing(spark, tree):
+    rows = {r.rel_path: r for r in list_files(spark, str(tree)).collect()}
     assert set(rows) == {"a.txt", "_u.txt", ".env", "s/b.txt", "s/n/c.txt", "s/n/empty", "s/loop"}
     row = rows["s/b.txt"]
     assert row.path == str(tree / "s/b.txt") and row.root == str(tree) and row.size == len("text s/b.txt")
     assert row.mod_time_ns == os.stat(tree / "s/b.txt").st_mtime_ns and not row.is_dir
 
 
+@pytest.mark.parametrize("entries", [1, 3, 7])
+def test_rounds_list_every_entry_once(spark, tmp_path, entries):
+    want = set()
+    for i in range(6):
+        for j in range(3):
+            for name in (f"d{i}/e{j}/f{j}.txt", f"d{i}/g.txt", f"d{i}/e{j}/deep/er/x"):
+                path = tmp_path / name
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_text("")
+                parts = name.split("/")
+                want |= {"/".join(parts[: k + 1]) for k in range(len(parts))}
+    got = [r.rel_path for r in list_tree(spark, str(tmp_path), entries=entries).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_folders_and_hidden(spark, tree):
     shown = {r.rel_path for r in list_tree(spark, str(tree)).filter("is_dir").collect()}
     assert shown == {"s", "s/n", ".hid", "s/.git"}
@@ -76,7 +90,7 @@ def test_wide_tree(spark, tmp_path):
         for j in range(4):
             (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
             (tmp_path / f"d{i}" / f"e{j}" / "f").write_text("x")
-    df = list_files(spark, str(tmp_path), fanout=8)
+    df = list_files(spark, str(tmp_path))
     assert df.count() == 120 and df.select("path").distinct().count() == 120
 
 
