@@ -151,19 +151,34 @@ def _ignored_by(rules: Column, rule_dir: Column, rel_path: Column, is_dir: Colum
     return F.exists(let(below, verdicts), lambda ignored: ignored)
 
 
+def active_rulesets(folders: DataFrame, rulesets: DataFrame) -> DataFrame:
+    """``(root, folder, active)``: the rulesets in force in each folder, outermost first.
+
+    ``folders`` are distinct ``(root, folder)`` rows; folders without rules are left out.
+    """
+    above = folders.select("root", "folder", F.explode(prefixes(F.col("folder"), True)).alias("rule_dir"))
+    ruleset = F.struct(F.length("rule_dir").alias("depth"), "rule_dir", "rules")
+    return (
+        above.join(rulesets, ["root", "rule_dir"])
+        .groupBy("root", "folder")
+        .agg(F.sort_array(F.collect_list(ruleset)).alias("active"))
+    )
+
+
 def drop_ignored(files: DataFrame, rulesets: DataFrame) -> DataFrame:
     """Apply ignore files: each is active in its own folder and below.
 
-    Paths are tested relative to the listing's root, whichever folder the rule
-    came from. Files meet rulesets by an equi-join on the folders above them;
-    whether the rules are broadcast is left to their measured size.
+    Rules are composed once per folder; a file then meets them by one equi-join on its
+    folder and is tested in its own row. Paths are tested relative to the listing's
+    root, whichever folder the rule came from.
     """
-    probe = files.select(
-        "root", "rel_path", "is_dir", F.explode(prefixes(F.col("rel_path"), False)).alias("rule_dir")
+    placed = files.withColumn("_folder", parent(F.col("rel_path")))
+    active = active_rulesets(placed.select("root", F.col("_folder").alias("folder")).distinct(), rulesets)
+    ignored = F.exists(
+        "active", lambda s: _ignored_by(s["rules"], s["rule_dir"], F.col("rel_path"), F.col("is_dir"))
     )
-    ignored = (
-        probe.join(rulesets, ["root", "rule_dir"])
-        .filter(_ignored_by(F.col("rules"), F.col("rule_dir"), F.col("rel_path"), F.col("is_dir")))
-        .select("root", "rel_path")
+    return (
+        placed.join(active.withColumnRenamed("folder", "_folder"), ["root", "_folder"], "left")
+        .filter(F.col("active").isNull() | ~ignored)
+        .select(*files.columns)
     )
-    return files.join(ignored, ["root", "rel_path"], "left_anti")

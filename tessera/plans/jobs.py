@@ -29,7 +29,6 @@ from tessera.operators.filters import (
     ignore_rulesets,
 )
 from tessera.operators.index import build_index_rows, latest
-from tessera.operators.postings import Postings
 from tessera.operators.render import with_rendering
 from tessera.operators.search import hybrid_search, text_search, to_results
 from tessera.operators.secrets import redact
@@ -289,22 +288,26 @@ def run_index(
 
 def search(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | IndexStore,
     embedder: Embedder | None = None,
     limit: int = SEARCH_LIMIT,
-    postings: Postings | None = None,
 ) -> DataFrame:
     """``(query_id, query)`` to ranked results with their rendering.
 
     With an embedder the ranking is hybrid, without one it is text only. A query that
-    cannot be embedded has no result. With ``postings`` the text leg reads no text.
+    cannot be embedded has no result. Of a store the text leg reads postings where
+    there are any, and the results only the buckets that hold hits.
     """
+    postings, chunks = None, index
+    if isinstance(index, IndexStore):
+        postings = index.read_postings() if index.has_postings else None
+        index, chunks = index.read(), index.fetch
     if embedder is None:
         hits = text_search(queries, index, limit, postings)
     else:
         embedded = embed_queries(queries.select("query_id", "query"), embedder)
         hits = hybrid_search(embedded.filter(F.col("error").isNull()), index, limit, postings)
-    return with_rendering(to_results(hits, index))
+    return with_rendering(to_results(hits, chunks))
 
 
 def status(roots: DataFrame, metadata: DataFrame, hashes: DataFrame, index: DataFrame) -> DataFrame:

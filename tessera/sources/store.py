@@ -135,6 +135,17 @@ class IndexStore:
             paths.select("file_path").distinct(), "file_path", "left_semi"
         ).select(*INDEX.names)
 
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """Chunks of a table of ``id``.
+
+        A narrow scan finds their buckets, and only these are opened for the rest.
+        """
+        state = self._state()
+        wanted = ids.select("id").distinct()
+        places = self._merged(state, "rows", T.StructType([INDEX["id"], INDEX["file_path"]])).join(wanted, "id", "left_semi")
+        buckets = {str(r.b) for r in places.select(self._bucket(state).alias("b")).distinct().collect()}
+        return self._merged(state, "rows", INDEX, buckets).join(wanted, "id", "left_semi").select(*INDEX.names)
+
     def read_postings(self) -> Postings:
         """The stored postings and the length of every chunk."""
         state = self._state()
@@ -143,6 +154,10 @@ class IndexStore:
         sizes = self._merged(state, "rows", T.StructType([INDEX["id"], INDEX["file_path"], _STORED["length"]]))
         return Postings(self._merged(state, "postings", POSTINGS), sizes.select("id", "length"))
 
+    @property
+    def has_postings(self) -> bool:
+        return bool(self._state()["postings"])
+
     def count(self) -> int:
         return self.read().count()
 

@@ -129,3 +129,10 @@ def test_redaction(spark):
     assert got["k"].startswith("a\n[REDACTED]\n") and got["k"].endswith("\nplain\n")
     assert got["n"] == "token count = 5"
     assert find_secrets(redact(df)).count() == 0
+
+
+def test_files_meet_their_rules_by_one_join(spark):
+    files = listing(spark, ["a/x.log", "a/b/y.log", "z.txt"])
+    rules = ignore_rulesets(spark.createDataFrame([("/r", ".gitignore", b"*.log")], "root string, rel_path string, content binary"))
+    plan = drop_ignored(files, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Generate") == 1 and plan.count("LeftOuter") == 1

@@ -177,6 +177,16 @@ def test_a_reader_keeps_its_segments(spark, tmp_path):
     assert contents(reader) == {("b", 1): "y"} and contents(store.read()) == {("b", 1): "z"}
 
 
+def test_fetching_ids_opens_their_buckets_only(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=32)
+    store.upsert(records(spark, [(f"f{i}", 1, f"t{i}") for i in range(300)]))
+    store.delete("f4")
+    chosen = store.read().filter("file_path in ('f3', 'f9')").select("id")
+    ids = spark.createDataFrame([*chosen.collect(), *chosen.collect(), ("none",)], "id string")
+    got = store.fetch(ids)
+    assert contents(got) == {("f3", 1): "t3", ("f9", 1): "t9"} and got.count() == 2 and len(got.inputFiles()) <= 4
+
+
 def test_reading_paths_opens_their_buckets_only(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"), buckets=32)
     store.upsert(records(spark, [(f"f{i}", 1, f"t{i}") for i in range(300)]))

@@ -62,6 +62,8 @@ def test_index_search_status(spark, tmp_path):
     assert {r.query_id for r in results} == {1} and results[0].header.startswith("[")
     hybrid = search(queries, space.store.read(), embedder, limit=2).collect()
     assert [r.file_path for r in hybrid if r.query_id == 1 and r["rank"] == 1]
+    assert sorted(search(queries, space.store, limit=2).collect()) == sorted(results)
+    assert sorted(search(queries, space.store, embedder, limit=2).collect()) == sorted(hybrid)
 
     # Nothing changed: nothing is read or written.
     assert run_index(spark, roots, space, embedder, now=200).count() == 0
