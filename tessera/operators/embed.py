@@ -77,7 +77,8 @@ def embed(
 
     An error ends the query, unless ``error_col`` names a column for it: a batch
     that fails is then tried text by text, rows that still fail carry the reason
-    and no vector, and all others theirs.
+    and no vector, and all others theirs. Calls are marked as not repeatable, so that
+    no filter that Spark derives from the result makes it ask the embedder twice.
     """
     features = getattr(embedder, "features", None)
     from_tokens = getattr(embedder, "from_tokens", None)
@@ -130,10 +131,11 @@ def embed(
     kind = T.ArrayType(T.FloatType())
     if error_col is None:
         checked = F.when(empty, F.raise_error(F.lit(EMPTY_TEXT))).otherwise(source)
-        return df.withColumn(out_col, F.arrow_udf(run, kind)(checked))
+        return df.withColumn(out_col, F.arrow_udf(run, kind).asNondeterministic()(checked))
     pair = T.StructType([T.StructField("vector", kind), T.StructField("error", T.StringType())])
     kept = [c for c in df.columns if c not in (out_col, error_col)]
-    found = df.withColumn("_found", F.arrow_udf(run_tried, pair)(F.when(~empty, source)))
+    asked = F.arrow_udf(run_tried, pair).asNondeterministic()
+    found = df.withColumn("_found", asked(F.when(~empty, source)))
     return found.select(
         *kept,
         F.col("_found.vector").alias(out_col),

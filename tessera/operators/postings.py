@@ -63,7 +63,8 @@ def text_vectors(index: DataFrame, *extra: str) -> DataFrame:
             yield pa.StructArray.from_arrays(count_terms(tokens), names=["terms", "tfs", "length"])
 
     tokens = F.coalesce(tokens_of(F.col("content")), F.array().cast("array<string>"))
-    found = index.select("id", *extra, counted(tokens).alias("_v"))
+    # else a filter derived from an explode of the terms would count them twice
+    found = index.select("id", *extra, counted.asNondeterministic()(tokens).alias("_v"))
     return found.select("id", *extra, "_v.terms", "_v.tfs", "_v.length")
 
 
