@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_of_id, read_table, spread_rows, text_or_empty
 
 PER_LANGUAGE, FIT_ROWS, FIT_CHARS = 300, 1_500, 16_000_000
-PARTS = 256
+PARTS = (256, 16, 1)
 LENGTHS, BITS = (1, 2, 3, 4), 13
 COLUMNS = 1 << BITS
 SEGMENT = 1 << 19
@@ -223,10 +223,10 @@ def training_rows(docs: DataFrame) -> list:
     )
     # hash and length first: the texts themselves are only moved for rows that are drawn
     key = found.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("chars")).distinct()
-    # first within parts of a language, so that no task ranks a frequent language alone
-    part = F.pmod(F.hash("h", "chars"), F.lit(PARTS))
-    for by in (["lang", part], ["lang"]):
-        nth = F.row_number().over(Window.partitionBy(*by).orderBy("h", "chars"))
+    # first within ever larger parts of a language, so that no task ranks a frequent one alone
+    for parts in PARTS:
+        part = F.pmod(F.hash("h", "chars"), F.lit(parts))
+        nth = F.row_number().over(Window.partitionBy("lang", part).orderBy("h", "chars"))
         key = key.withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE)
     few = key.orderBy("nth", "lang").limit(FIT_ROWS).collect()
     drawn, total = [], 0
