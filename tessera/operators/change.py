@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.paths import base_name, parent
 from tessera.operators.filters import drop_metadata_file
 from tessera.schema import METADATA_FILE_NAME
+from tessera.session import persist_table
 
 _BLOCK_BYTES = 1 << 20
 
@@ -107,6 +109,67 @@ def directory_hash(
     )
 
 
+def folder_digests(files: DataFrame, metadata_file: str = METADATA_FILE_NAME) -> DataFrame:
+    """``(root, folder, depth, digest)``: a digest of every folder and all that is below it.
+
+    A folder's digest is the SHA-256 of its sorted entries, ``name:mtime`` for a file and
+    ``name/:digest`` for a folder, so it stays the same exactly if nothing below changed
+    and an unchanged subtree is known by one row. Folders are digested from the deepest
+    level up, each level as one job over all folders of that depth; a folder of any size
+    goes through the same ordered blocks as a root does. Empty folders have no digest.
+    """
+    known = drop_metadata_file(files.filter(~F.col("is_dir")), metadata_file).select(
+        "root",
+        parent(F.col("rel_path")).alias("folder"),
+        F.concat(base_name(F.col("rel_path")), F.lit(":"), F.col("mod_time_ns").cast("string")).alias("entry"),
+    )
+    depth = F.when(F.col("folder") == "", F.lit(0)).otherwise(F.size(F.split("folder", "/", -1)))
+    entries = persist_table(known.withColumn("depth", depth), "digest-entries")
+    deepest = entries.agg(F.max("depth")).first()[0]
+    found, below = None, None
+    for level in range(-1 if deepest is None else deepest, -1, -1):
+        here = entries.filter(F.col("depth") == level).select("root", "folder", "entry")
+        if below is not None:
+            name = F.concat(base_name(F.col("folder")), F.lit("/:"), F.col("digest"))
+            here = here.unionByName(
+                below.select("root", parent(F.col("folder")).alias("folder"), name.alias("entry"))
+            )
+        # a folder is told apart by root and path; neither holds a NUL
+        keyed = here.select(F.concat_ws("\0", "root", "folder").alias("root"), "entry")
+        split = F.split("root", "\0")
+        digests = _hash_streamed(keyed).select(
+            split[0].alias("root"),
+            split[1].alias("folder"),
+            F.lit(level).alias("depth"),
+            F.col("content_hash").alias("digest"),
+        )
+        below = persist_table(digests, "digests")
+        found = below if found is None else found.unionByName(below)
+    if found is None:
+        return entries.select("root", "folder", "depth", F.lit("").alias("digest")).limit(0)
+    return found
+
+
+def changed_folders(digests: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(root, folder, change)`` of folders that were added, changed somewhere below, or are gone."""
+    before = stored.select("root", "folder", F.col("digest").alias("_old"))
+    change = (
+        F.when(F.col("_old").isNull(), "added").when(F.col("digest").isNull(), "deleted").otherwise("changed")
+    )
+    return (
+        digests.select("root", "folder", "digest")
+        .join(before, ["root", "folder"], "full_outer")
+        .filter(~F.col("digest").eqNullSafe(F.col("_old")))
+        .select("root", "folder", change.alias("change"))
+    )
+
+
+def in_changed_folders(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files directly inside folders that changed; those of unchanged subtrees need no second look."""
+    placed = files.withColumn("folder", parent(F.col("rel_path")))
+    return placed.join(changed.select("root", "folder"), ["root", "folder"], "left_semi").select(*files.columns)
+
+
 def with_change_flag(hashes: DataFrame, metadata: DataFrame) -> DataFrame:
     """Add ``has_changed``; a root without stored metadata counts as changed."""
     stored = metadata.select("root", F.col("content_hash").alias("stored_hash"))

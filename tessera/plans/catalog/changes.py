@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.change import changed_roots, diff_files, directory_hash, with_change_flag
+from tessera.operators.change import (
+    changed_folders,
+    changed_roots,
+    diff_files,
+    directory_hash,
+    folder_digests,
+    with_change_flag,
+)
 from tessera.plans.catalog.shapes import epoch_nanos, table
 
 
@@ -75,10 +82,52 @@ def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files three folders deep: customer, status, priority."""
+    files = order_files(spark, sf_dir)
+    path = F.concat_ws("/", F.replace("root", F.lit("/"), F.lit("")), "state", "priority", "rel_path")
+    return files.withColumns({"root": F.lit("/orders"), "rel_path": path})
+
+
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folder_digests(_nested_files(spark, sf_dir))
+
+
+def _subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that differ between two states of the tree: orders dropped, orders touched."""
+    files = _nested_files(spark, sf_dir)
+    later = F.when(F.col("mod_time_ns") % 7 == 0, F.col("mod_time_ns") + 1).otherwise(F.col("mod_time_ns"))
+    now = files.filter(F.col("priority") != "5-LOW").withColumn("mod_time_ns", later)
+    return changed_folders(folder_digests(now), folder_digests(files))
+
+
+def _digest_ctes(name: str, files: str) -> str:
+    """CTEs ending in ``<name>(folder, depth, digest)`` for ``files(c, state, priority, entry)``."""
+    def level(above: str, folder: str, name_of: str, source: str) -> str:
+        return f"SELECT {above}, sha256(string_agg(e, '' ORDER BY e)) AS digest FROM (SELECT {folder}, {name_of} AS e FROM {source}) GROUP BY ALL"
+
+    return f"""
+{name}_3 AS ({level("c, state, priority", "c, state, priority", "entry", f"({files})")}),
+{name}_2 AS ({level("c, state", "c, state", "priority || '/:' || digest", f"{name}_3")}),
+{name}_1 AS ({level("c", "c", "state || '/:' || digest", f"{name}_2")}),
+{name}_0 AS (SELECT sha256(string_agg(e, '' ORDER BY e)) AS digest FROM (SELECT c || '/:' || digest AS e FROM {name}_1)),
+{name} AS (
+  SELECT c || '/' || state || '/' || priority AS folder, 3 AS depth, digest FROM {name}_3
+  UNION ALL SELECT c || '/' || state, 2, digest FROM {name}_2
+  UNION ALL SELECT c, 1, digest FROM {name}_1
+  UNION ALL SELECT '', 0, digest FROM {name}_0)"""
+
+
+_NESTED = "SELECT 'c' || o_custkey::VARCHAR AS c, o_orderstatus AS state, o_orderpriority AS priority, {entry} AS entry FROM orders WHERE {where}"
+_NANOS = "epoch_us(o_orderdate) * 1000"
+_TOUCHED = f"'o' || o_orderkey::VARCHAR || ':' || ({_NANOS} + CASE WHEN {_NANOS} % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR"
+
 QUERIES = {
     "h01_directory_hash": _hash,
     "h01_directory_hash_streamed": _hash_streamed,
     "h02_has_changed": _flags,
+    "h04_folder_digests": _digests,
+    "h05_changed_subtrees": _subtrees,
     "h03_file_diff": _diff,
     "f07_changed_roots": _changed,
 }
@@ -94,6 +143,14 @@ FROM customer LEFT JOIN ({_CURRENT}) h ON h.root = '/c' || c_custkey::VARCHAR"""
 SELECT '/u' || user_id::VARCHAR AS root, sha256(string_agg(e, '' ORDER BY e)) AS content_hash
 FROM (SELECT user_id, event_type || '/e' || event_id::VARCHAR || ':' || (epoch_us(ts) * 1000)::VARCHAR AS e FROM events)
 GROUP BY user_id""",
+    "h04_folder_digests": f"""
+WITH {_digest_ctes('d', _NESTED.format(entry=ENTRY_SQL, where='TRUE'))}
+SELECT '/orders' AS root, folder, depth::INTEGER AS depth, digest FROM d""",
+    "h05_changed_subtrees": f"""
+WITH {_digest_ctes('b', _NESTED.format(entry=ENTRY_SQL, where='TRUE'))},
+{_digest_ctes('n', _NESTED.format(entry=_TOUCHED, where="o_orderpriority <> '5-LOW'"))}
+SELECT '/orders' AS root, folder, CASE WHEN b.digest IS NULL THEN 'added' WHEN n.digest IS NULL THEN 'deleted' ELSE 'changed' END AS change
+FROM n FULL JOIN b USING (folder) WHERE n.digest IS DISTINCT FROM b.digest""",
     "h02_has_changed": f"""
 SELECT '/c' || c_custkey::VARCHAR AS root, coalesce(s.content_hash, '') <> coalesce(h.content_hash, sha256('')) AS has_changed
 FROM customer LEFT JOIN ({_CURRENT}) h ON h.root = '/c' || c_custkey::VARCHAR

@@ -5,7 +5,15 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators.change import changed_roots, diff_files, directory_hash, with_change_flag
+from tessera.operators.change import (
+    changed_folders,
+    changed_roots,
+    diff_files,
+    directory_hash,
+    folder_digests,
+    in_changed_folders,
+    with_change_flag,
+)
 from tessera.schema import METADATA_FILE_NAME
 
 SCHEMA = "root string, path string, rel_path string, mod_time_ns bigint, is_dir boolean"
@@ -66,3 +74,54 @@ def test_diff(spark):
     got = {r.path: r.change for r in diff_files(old, new).collect()}
     assert got == {"edit": "modified", "gone": "deleted", "new": "added"}
     assert diff_files(old, old).count() == 0
+
+
+def nested(entries):
+    """Digest per folder of ``{path: mtime}``, by recursion."""
+    out = {}
+
+    def digest(folder):
+        inside = {p[len(folder) :]: t for p, t in entries.items() if p.startswith(folder)}
+        parts = [f"{p}:{t}" for p, t in inside.items() if "/" not in p]
+        parts += [f"{d}/:{digest(folder + d + '/')}" for d in {p.split("/")[0] for p in inside if "/" in p}]
+        out[folder.rstrip("/")] = hashlib.sha256("".join(sorted(parts)).encode()).hexdigest()
+        return out[folder.rstrip("/")]
+
+    if entries:
+        digest("")
+    return out
+
+
+def random_tree(seed, size=120):
+    rng = random.Random(seed)
+    return {"/".join(rng.choices(["a", "b", "é", "a-1"], k=rng.randint(0, 4)) + [f"f{i}"]): i for i in range(size)}
+
+
+def digests(spark, trees):
+    data = [r for root, tree in trees.items() for r in rows(root, tree.items())] + [("/r", "/r/d", "d", 7, True)]
+    return folder_digests(spark.createDataFrame(data, SCHEMA))
+
+
+def test_folder_digests_equal_recursion(spark):
+    trees = {"/r": random_tree(1), "/q": random_tree(2, 30), "/flat": {f"x{i}": i for i in range(500)}}
+    got = {(r.root, r.folder): r.digest for r in digests(spark, trees).collect()}
+    assert got == {(root, f): d for root, tree in trees.items() for f, d in nested(tree).items()}
+    depths = {r.folder: r.depth for r in digests(spark, trees).collect()}
+    assert all(depths[f] == (f.count("/") + 1 if f else 0) for f in depths)
+    assert digests(spark, {}).count() == 0
+
+
+def test_only_the_path_to_a_change_changes(spark):
+    tree = random_tree(3)
+    path = next(p for p in tree if p.count("/") == 3)
+    later = {**tree, path: 999, "new/deep/x": 1}
+    gone = next(p for p in tree if p.startswith("b/") and p != path)
+    before, after = digests(spark, {"/r": tree}), digests(spark, {"/r": later})
+    got = {r.folder: r.change for r in changed_folders(after, before).collect()}
+    above = {"/".join(path.split("/")[:k]) for k in range(4)}
+    assert got == {**dict.fromkeys(above, "changed"), "new": "added", "new/deep": "added"}
+    assert {r.folder: r.change for r in changed_folders(before, after).collect()}["new"] == "deleted"
+    files = spark.createDataFrame(rows("/r", later.items()), SCHEMA)
+    looked = {r.rel_path for r in in_changed_folders(files, changed_folders(after, before)).collect()}
+    assert path in looked and looked == {p for p in later if p.rpartition("/")[0] in got}
+    assert gone not in looked or gone.rpartition("/")[0] in got
