@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -176,8 +177,8 @@ def run_index(
     file that could not be embedded, stays. Texts whose vectors are known from an
     earlier run of an embedder with the same name are not embedded again. A text
     that is not UTF-8 is indexed with replacement characters. Links to folders are
-    hashed but not read. The errors of a run are a folder of their own, so a
-    repeated run writes them once.
+    hashed but not read. The errors of a run are a folder of their own, named by its
+    time and roots, so a repeated run writes them once and runs of other roots add theirs.
     """
     roots = [r.rstrip("/") for r in roots]
     root_table = spark.createDataFrame([(r,) for r in roots], "root string")
@@ -248,7 +249,8 @@ def run_index(
         .unionByName(unlisted)
         .unionByName(visible.select("root", "path").join(unembedded, "path"))
     )
-    errors.write.mode("overwrite").json(f"{workspace.errors_path}/at={now}")
+    run = hashlib.sha256("\n".join(sorted(roots)).encode()).hexdigest()[:16]
+    errors.write.mode("overwrite").json(f"{workspace.errors_path}/at={now}/run={run}")
     failed_roots = errors.select("root").distinct().withColumn("_failed", F.lit(True))
 
     manifests = load_content(
