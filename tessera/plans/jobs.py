@@ -226,7 +226,7 @@ def run_index(
     )
     size = fresh.agg(F.sum("size").alias("n")).first().n or 0
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(size / _TASK_BYTES))
-    loaded = load_content(fresh, tasks)
+    loaded = load_content(fresh, tasks, skip_binary=True)
     projects = persist_table(detect_projects(todo), "projects")
     # Files are read once: what was loaded is written out, then split into
     # text to index and errors to report.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.schema import FILES
+from tessera.schema import BINARY_PROBE_BYTES, FILES
 from tessera.session import persist_table
 
 FOLDER_ENTRIES = 10_000
@@ -72,15 +72,21 @@ def _check_root(root: str) -> bool:
     return os.path.isdir(root)
 
 
-def _read_bytes(path: str) -> bytes:
+def _read_bytes(path: str, probe: int = 0) -> bytes:
+    """A file's bytes; only the first ``probe`` of them if there is a NUL among these."""
+
+    def read(stream) -> bytes:
+        head = stream.read(probe) if probe else b""
+        return head if b"\0" in head else head + stream.read()
+
     if _is_url(path):
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(path)
         with system.open_input_stream(inner) as stream:
-            return stream.read()
+            return read(stream)
     with open(path, "rb") as stream:
-        return stream.read()
+        return read(stream)
 
 
 def _entered(path: str, hidden: bool) -> bool:
@@ -180,13 +186,16 @@ def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     return list_tree(spark, roots, hidden=False).filter(~F.col("is_dir"))
 
 
-def load_content(files: DataFrame, tasks: int | None = None) -> DataFrame:
+def load_content(files: DataFrame, tasks: int | None = None, skip_binary: bool = False) -> DataFrame:
     """Add ``content`` and ``error`` by reading each file once, in the tasks.
 
     A file that cannot be read keeps its row with ``error`` set, so that one bad
     file does not fail the job; so does one too large for a binary value. A link to
     a folder has neither content nor error. ``tasks`` deals the files out by hash first.
+    With ``skip_binary`` a file that the binary rule leaves out is read no further than
+    that rule looks, and its content is that part.
     """
+    probe = BINARY_PROBE_BYTES if skip_binary else 0
     kept = files.columns
     out = T.StructType(
         files.schema.fields
@@ -203,7 +212,7 @@ def load_content(files: DataFrame, tasks: int | None = None) -> DataFrame:
             first, size, contents, errors = 0, 0, [], []
             for i, path in enumerate(batch.column("path").to_pylist()):
                 try:
-                    content, error = _read_bytes(path), None
+                    content, error = _read_bytes(path, probe), None
                     if len(content) > _LARGEST:
                         content, error = None, f"{len(content)} bytes are more than a value can hold"
                 except IsADirectoryError:

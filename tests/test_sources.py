@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators.filters import drop_binary
 from tessera.schema import METADATA, METADATA_FILE_NAME
 from tessera.sources.corpus import read_corpus, spread
 from tessera.sources.metadata import merge_metadata, metadata_from_files, read_metadata, write_metadata
@@ -158,3 +159,16 @@ def test_spread_only_small_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert "Exchange" in spread(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in spread(docs, limit=10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_binaries_are_read_no_further_than_they_are_told(spark, tmp_path):
+    data = {"late.bin": b"x" * 8192 + b"\0" + b"y" * 10_000, "early.bin": b"\0" + b"y" * 50_000, "a.txt": b"text" * 9000, "empty": b""}
+    for name, raw in data.items():
+        (tmp_path / name).write_bytes(raw)
+    files = list_files(spark, str(tmp_path))
+    whole = {r.rel_path: bytes(r.content) for r in load_content(files).collect()}
+    assert whole == data
+    probed = {r.rel_path: bytes(r.content) for r in load_content(files, 2, skip_binary=True).collect()}
+    assert probed == {**data, "early.bin": data["early.bin"][:8192]}
+    kept = [{r.rel_path for r in drop_binary(load_content(files, None, s)).collect()} for s in (False, True)]
+    assert kept[0] == kept[1] == {"late.bin", "a.txt", "empty"}
