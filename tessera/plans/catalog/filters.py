@@ -179,7 +179,49 @@ _HOSTING = r"(\b)(gh[pousr]_[0-9A-Za-z]{36,})(\b)"
 _HEADER = r"()(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)()"
 
 
-def _findings_sql() -> str:
+def _planted(spark: SparkSession, sf_dir: str, keys: bool) -> DataFrame:
+    """Documents with a line that each rule finds, or just does not, by turns."""
+    number = F.col("doc_id").cast("string")
+    small, large = F.md5(number), F.substring(F.upper(F.md5(number)), 1, 16)
+    turn = F.col("doc_id") % 6
+    line = (
+        F.when(turn == 0, F.concat(F.lit("key AKIA"), large, F.lit(" end")))
+        .when(turn == 1, F.concat(F.lit('export TOKEN = "'), small, F.lit('"')))
+        .when(turn == 2, F.concat(F.lit("ghp_"), small, small))
+        .when(turn == 3, F.lit(_KEY_LINE if keys else _NO_KEY_LINE))
+        .when(turn == 4, F.concat(F.lit("password: 'x1' AKIA"), F.lower(large)))
+        .otherwise(F.concat(F.lit("api-key := '"), small, F.lit("' and ASIA"), large))
+    )
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        F.concat(F.lit("d"), number).alias("path"), F.concat_ws("\n", "text", line, F.lit("tail")).alias("content")
+    )
+
+
+def _planted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_planted(spark, sf_dir, True))
+
+
+def _planted_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_planted(spark, sf_dir, False)).select("path", "content")
+
+
+_KEY_LINE = "-----BEGIN RSA PRIVATE KEY-----"
+_NO_KEY_LINE = "BEGIN RSA PRIVATE KEY"
+
+
+def _planted_sql(keys: bool) -> str:
+    return f"""text || chr(10) || CASE doc_id % 6
+    WHEN 0 THEN 'key AKIA' || left(upper(md5(doc_id::VARCHAR)), 16) || ' end'
+    WHEN 1 THEN 'export TOKEN = "' || md5(doc_id::VARCHAR) || '"'
+    WHEN 2 THEN 'ghp_' || md5(doc_id::VARCHAR) || md5(doc_id::VARCHAR)
+    WHEN 3 THEN '{_KEY_LINE if keys else _NO_KEY_LINE}'
+    WHEN 4 THEN 'password: ' || chr(39) || 'x1' || chr(39) || ' AKIA' || left(md5(doc_id::VARCHAR), 16)
+    ELSE 'api-key := ' || chr(39) || md5(doc_id::VARCHAR) || chr(39) || ' and ASIA' || left(upper(md5(doc_id::VARCHAR)), 16)
+  END || chr(10) || 'tail'"""
+
+
+def _findings_sql(text: str = "text") -> str:
     rules = [
         ("assigned-secret", _ASSIGNED),
         ("cloud-access-key", _CLOUD),
@@ -194,7 +236,7 @@ def _findings_sql() -> str:
     return f"""
 WITH lines AS (
   SELECT 'd' || doc_id::VARCHAR AS file_path, generate_subscripts(ls, 1)::INTEGER AS line, unnest(ls) AS text
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+  FROM (SELECT doc_id, string_split({text}, chr(10)) AS ls FROM documents)),
 marked AS ({union}),
 hits AS (SELECT *, unnest(range(2, len(parts) + 1)) AS k FROM marked WHERE len(parts) > 1)
 SELECT file_path, line, (1 + length(replace(array_to_string(parts[1:k - 1], ''), chr(2), '')))::INTEGER AS col,
@@ -222,6 +264,8 @@ QUERIES = {
     "x01_should_skip": _skipped,
     "x02_findings": _findings,
     "x03_redaction": _redacted,
+    "x04_planted_findings": _planted_findings,
+    "x05_planted_redaction": _planted_redaction,
 }
 
 SQL = {
@@ -240,4 +284,7 @@ SELECT '/c' || o_custkey::VARCHAR || '/' || o_orderkey::VARCHAR || '/data.json'
     "x01_should_skip": _SKIPPED_SQL,
     "x02_findings": _findings_sql(),
     "x03_redaction": f"SELECT 'd' || doc_id::VARCHAR AS path, {redact_sql('text')} AS content FROM documents",
+    "x04_planted_findings": _findings_sql(_planted_sql(True)),
+    "x05_planted_redaction": f"""
+SELECT path, {redact_sql('content')} AS content FROM (SELECT 'd' || doc_id::VARCHAR AS path, {_planted_sql(False)} AS content FROM documents)""",
 }
