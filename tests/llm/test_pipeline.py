@@ -55,8 +55,8 @@ def test_clean_documents_are_kept(spark, docs_of, table):
     assert {r["doc_id"] for r in out.collect()} == set(range(30))
 
 
-def test_all_ten_and_the_pipeline_are_registered(no_docs):
+def test_all_thirteen_and_the_pipeline_are_registered(no_docs):
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert set(oracle_sql()) <= set(queries()) and plain(no_docs) == []
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
