@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,68 @@ def test_runs_of_repeated_shingles_do_not_depend_on_slices(monkeypatch):
     assert sum(n for _, _, n in want) == (a[:, None] == b[None, :]).sum()
     monkeypatch.setattr(passages, "MATCHES", 40)
     assert passages.exact_runs(a, b, order, b[order]) == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_rows_of_shared_keys_pass_whatever_the_batches(size):
+    rng = random.Random(16)
+    rows = sorted((rng.randrange(12), rng.randrange(4)) for _ in range(40))
+    batches = [pd.DataFrame(rows[a : a + size], columns=["key", "h"]) for a in range(0, len(rows), size)]
+    got = [tuple(r) for part in passages._met(iter(batches)) for r in part.itertuples(index=False)]
+    texts = {k: {h for j, h in rows if j == k} for k, _ in rows}
+    assert got == sorted({(k, h) for k, h in rows if len(texts[k]) > 1})
+    assert list(passages._met(iter([]))) == []
+
+
+@pytest.mark.parametrize("chunk, seed", [(512, 17), (3, 18)])
+def test_op9_equals_all_pairs(spark, docs_of, table, monkeypatch, chunk, seed):
+    monkeypatch.setattr(passages, "CHUNK", chunk)
+    rng = random.Random(seed)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    def altered(words):
+        words = list(words)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = fresh(1)[0]
+        return words
+
+    line, shared = fresh(12), [fresh(n) for n in (50, 60, 75, 120)]
+    rows = []
+    for _ in range(24):
+        row = fresh(rng.randrange(30))
+        for p in rng.sample(shared, rng.randrange(3)):
+            row += altered(p) + (line if rng.random() < 0.5 else []) + fresh(rng.randrange(1, 40))
+        rows.append(row)
+    rows += [rows[2], rows[2], fresh(30) + shared[3] + shared[3]]
+    found, counts = passages.sequences([" ".join(r).encode() for r in rows])
+    covered, linked = [np.zeros(n, bool) for n in counts], [{k} for k in range(len(rows))]
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            for a, b, c, d in passages.shared_passages(found[x], found[y]):
+                covered[x][a : b + passages.WIDTH - 1] = covered[y][c : d + passages.WIDTH - 1] = True
+                linked[x].add(y)
+                linked[y].add(x)
+    classes = list(range(len(rows)))
+    for _ in rows:
+        classes = [min(classes[m] for m in linked[k]) for k in range(len(rows))]
+    got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
+    for k in range(len(rows)):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], covered[k].astype(np.int8), [0]]))).reshape(-1, 2)
+        assert got[k]["spans"] == ",".join(f"{a}:{b}" for a, b in edge), k
+        assert (got[k]["class_id"], got[k]["n_links"]) == (classes[k], len(linked[k]) - 1), k
+
+
+def test_altered_passages_are_found_in_both_texts(spark, docs_of, table):
+    rng = random.Random(19)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    rows = []
+    for _ in range(100):
+        p = fresh(54)
+        rows += [fresh(60) + p + fresh(40), fresh(30) + p[:26] + fresh(1) + p[27:] + fresh(50)]  # 45 of 55 shingles
+    got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
+    assert all(got[k]["n_covered"] == 54 and got[k]["n_links"] == 1 for k in range(200))
