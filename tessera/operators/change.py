@@ -15,59 +15,73 @@ from tessera.schema import METADATA_FILE_NAME
 from tessera.session import persist_table
 
 _BLOCK_BYTES = 1 << 20
+_BATCH_ROWS = 10_000
+_BATCH_BYTES = 4 << 20
 
 
 def _entry() -> Column:
     return F.concat(F.col("rel_path"), F.lit(":"), F.col("mod_time_ns").cast("string"))
 
 
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``_BATCH_ROWS`` or ``_BATCH_BYTES`` to a batch; their last column is measured."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= _BATCH_ROWS or size >= _BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+_BLOCKS = pa.schema([("root", pa.string()), ("first", pa.string()), ("last", pa.string()), ("block", pa.binary())])
+_HASHES = pa.schema([("root", pa.string()), ("content_hash", pa.string())])
+
+
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Consecutive entries of a root, in order, as binary blocks of about 1 MB."""
-    root, first, last, parts, size = None, None, None, [], 0
-    schema = pa.schema(
-        [("root", pa.string()), ("first", pa.string()), ("last", pa.string()), ("block", pa.binary())]
-    )
-
-    def block() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"root": [root], "first": [first], "last": [last], "block": [b"".join(parts)]},
-            schema=schema,
-        )
 
-    for batch in batches:
-        for r, e in zip(batch.column("root").to_pylist(), batch.column("entry").to_pylist()):
-            if parts and (r != root or size >= _BLOCK_BYTES):
-                yield block()
-                parts, size = [], 0
-            if not parts:
-                root, first = r, e
-            last = e
-            raw = e.encode()
-            parts.append(raw)
-            size += len(raw)
-    if parts:
-        yield block()
+    def rows() -> Iterator[tuple]:
+        root, first, last, parts, size = None, None, None, [], 0
+        for batch in batches:
+            for r, e in zip(batch.column("root").to_pylist(), batch.column("entry").to_pylist()):
+                if parts and (r != root or size >= _BLOCK_BYTES):
+                    yield root, first, last, b"".join(parts)
+                    parts, size = [], 0
+                if not parts:
+                    root, first = r, e
+                last = e
+                raw = e.encode()
+                parts.append(raw)
+                size += len(raw)
+        if parts:
+            yield root, first, last, b"".join(parts)
+
+    yield from _in_batches(rows(), _BLOCKS)
 
 
 def _digest_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of each root's ordered blocks, holding one hash state at a time."""
-    root, state = None, None
-    schema = pa.schema([("root", pa.string()), ("content_hash", pa.string())])
-
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"root": [root], "content_hash": [state.hexdigest()]}, schema=schema
-        )
 
-    for batch in batches:
-        for r, b in zip(batch.column("root").to_pylist(), batch.column("block").to_pylist()):
-            if state is None or r != root:
-                if state is not None:
-                    yield row()
-                root, state = r, hashlib.sha256()
-            state.update(b)
-    if state is not None:
-        yield row()
+    def rows() -> Iterator[tuple]:
+        root, state = None, None
+        for batch in batches:
+            for r, b in zip(batch.column("root").to_pylist(), batch.column("block").to_pylist()):
+                if state is None or r != root:
+                    if state is not None:
+                        yield root, state.hexdigest()
+                    root, state = r, hashlib.sha256()
+                state.update(b)
+        if state is not None:
+            yield root, state.hexdigest()
+
+    yield from _in_batches(rows(), _HASHES)
 
 
 def _hash_streamed(entries: DataFrame) -> DataFrame:

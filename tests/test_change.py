@@ -125,3 +125,17 @@ def test_only_the_path_to_a_change_changes(spark):
     looked = {r.rel_path for r in in_changed_folders(files, changed_folders(after, before)).collect()}
     assert path in looked and looked == {p for p in later if p.rpartition("/")[0] in got}
     assert gone not in looked or gone.rpartition("/")[0] in got
+
+
+def test_small_folders_travel_in_batches():
+    import pyarrow as pa
+
+    from tessera.operators.change import _digest_blocks, _join_blocks
+
+    names = [f"r{i:05}" for i in range(25_000)]
+    given = pa.RecordBatch.from_pydict({"root": names, "entry": ["a:1"] * len(names)})
+    blocks = list(_join_blocks(iter([given])))
+    digests = list(_digest_blocks(iter(blocks)))
+    assert [len(blocks), len(digests)] == [3, 3]
+    assert [r for b in digests for r in b.column("root").to_pylist()] == names
+    assert list(_join_blocks(iter([]))) == list(_digest_blocks(iter([]))) == []
