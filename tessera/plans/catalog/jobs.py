@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.change import diff_files, directory_hash
@@ -15,6 +15,7 @@ from tessera.plans.catalog.shapes import documents_as, documents_as_sql, table
 from tessera.plans.jobs import Workspace, index_documents, run_index, status
 from tessera.session import fresh_path
 from tessera.sources.store import IndexStore
+from tessera.sources.tree import write_lines
 from tessera.sources.vectors import VectorCache
 from tessera.streaming.arrivals import stream_index
 
@@ -88,6 +89,15 @@ SELECT source || '/' || lang || '/latest.txt' AS path,
 FROM documents GROUP BY source, lang"""
 
 
+def _partition_folder(name: str) -> Column:
+    """The folder of a column's value, named as Spark names a partition."""
+    value = F.col(name).cast("string")
+    for mark in "%\"#'*/:=?\\{[]^\x7f" + "".join(map(chr, range(1, 32))):  # the percent sign first
+        value = F.replace(value, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+    absent = F.coalesce(value, F.lit("")) == ""
+    return F.concat(F.lit(f"{name}="), F.when(absent, "__HIVE_DEFAULT_PARTITION__").otherwise(value))
+
+
 def _tree_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a tree of files, one folder each, indexed by the whole job in two runs.
 
@@ -102,7 +112,8 @@ def _tree_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, f"{base}-space", buckets=8)
 
     def arrive(part: DataFrame) -> None:
-        part.select("lang", "doc_id", "text").write.mode("append").partitionBy("lang", "doc_id").text(base)
+        folder = F.concat_ws("/", _partition_folder("lang"), _partition_folder("doc_id"))
+        write_lines(part.select(folder.alias("folder"), "text").repartition("folder"), local)
 
     arrive(docs.filter(F.col("labelled").isNull()))
     run_index(spark, [local], space, now=1)
@@ -112,6 +123,7 @@ def _tree_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs
     place = hadoop.Path(f"{base}-rules")
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(base))
     (written,) = [s.getPath() for s in system.globStatus(hadoop.Path(f"{base}-rules/part-*"))]
     system.rename(written, hadoop.Path(f"{base}/.gitignore"))
     run_index(spark, [local], space, now=2)

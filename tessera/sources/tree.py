@@ -11,6 +11,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from tessera.session import persist_table
 
 FOLDER_ENTRIES = 10_000
 TASK_FOLDERS = 4
+CORE_TASKS = 3
 _ROWS = 2_000
 _BATCH_BYTES = 16 << 20
 _LARGEST = (1 << 31) - (1 << 20)
@@ -133,12 +135,19 @@ def _list_folders(folders: DataFrame, hidden: bool, errors: bool, entries: int)
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+        seen = 0
         for given in batches:
             for root, folder in zip(given.column("root").to_pylist(), given.column("path").to_pylist()):
-                for row in _walk(root, folder, hidden, errors, entries):
-                    rows.append(row)
-                    if len(rows) >= _ROWS:
-                        yield batch()
+                if seen >= TASK_FOLDERS * entries:
+                    rows.append((root, folder, folder[len(root) + 1 :], 0, 0, True, None, True))
+                else:
+                    for row in _walk(root, folder, hidden, errors, entries):
+                        seen += 1
+                        rows.append(row)
+                        if len(rows) >= _ROWS:
+                            yield batch()
+                if len(rows) >= _ROWS:
+                    yield batch()
         yield batch()
 
     return folders.select("root", "path").mapInArrow(run, _LISTED)
@@ -153,11 +162,11 @@ def list_tree(
 ) -> DataFrame:
     """Every entry below the roots, folders included.
 
-    The tree is listed round by round. A round is a table of folders, dealt out over
-    the tasks; a task walks each of its folders until it has seen about ``entries``
-    entries, and the folders it left unopened are the next round's table. So a small
-    or deep tree takes one round, a wide one is spread anew in each, and no folder
-    name passes the driver.
+    The tree is listed round by round. A round is a table of folders, dealt out over a
+    few tasks a core; a task walks each of its folders until it has seen about ``entries``
+    entries, ``TASK_FOLDERS`` times as many in all, and the folders it left unopened are
+    the next round's table. So a small or deep tree takes one round, a wide one is spread
+    anew in each, and no folder name passes the driver.
 
     Hidden folders are reported but entered only with ``hidden``. Rows carry the
     root and the path relative to it. A missing root is an error. So is a folder
@@ -176,7 +185,8 @@ def list_tree(
         left = folders.count()
         if not left:
             break
-        folders = folders.repartition(math.ceil(left / TASK_FOLDERS), F.xxhash64("path"))
+        tasks = min(math.ceil(left / TASK_FOLDERS), CORE_TASKS * spark.sparkContext.defaultParallelism)
+        folders = folders.repartition(tasks, F.xxhash64("path"))
     names = [*FILES.names, "error"] if errors else FILES.names
     return found.filter(~F.col("unopened")).select(*names)
 
@@ -186,6 +196,49 @@ def list_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     return list_tree(spark, roots, hidden=False).filter(~F.col("is_dir"))
 
 
+def _write_bytes(folder: str, name: str, content: bytes) -> None:
+    """A file in a folder, which is made where it is missing."""
+    if _is_url(folder):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder)
+        system.create_dir(inner)
+        with system.open_output_stream(f"{inner}/{name}") as stream:
+            stream.write(content)
+        return
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "wb") as stream:
+        stream.write(content)
+
+
+def write_lines(lines: DataFrame, base: str) -> int:
+    """Write ``lines(folder, text)`` below a base folder, which the tasks reach as ``list_tree`` does.
+
+    A task's lines of one folder are one file, ``part-`` and the task's number, each ended by a
+    newline; a null text is an empty line. A task that runs again writes the same files.
+    Gives the number of files. Spark's own writer takes a commit and, on local disks, several
+    processes per file, which a tree of many small files does not bear.
+    """
+    base = _local(base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at, held, n = f"part-{TaskContext.get().partitionId():05}.txt", None, [], 0
+        for batch in batches:
+            for folder, text in zip(batch.column("folder").to_pylist(), batch.column("text").to_pylist()):
+                if held and folder != at:
+                    _write_bytes(f"{base}/{at}", name, b"".join(held))
+                    held, n = [], n + 1
+                at = folder
+                held.append((text or "").encode() + b"\n")
+        if held:
+            _write_bytes(f"{base}/{at}", name, b"".join(held))
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    sorted_lines = lines.select("folder", "text").sortWithinPartitions("folder")
+    return sorted_lines.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def load_content(files: DataFrame, tasks: int | None = None, skip_binary: bool = False) -> DataFrame:
     """Add ``content`` and ``error`` by reading each file once, in the tasks.
 

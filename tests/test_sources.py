@@ -9,7 +9,7 @@ from tessera.operators.filters import drop_binary
 from tessera.schema import METADATA, METADATA_FILE_NAME
 from tessera.sources.corpus import read_corpus, spread
 from tessera.sources.metadata import merge_metadata, metadata_from_files, read_metadata, write_metadata
-from tessera.sources.tree import list_files, list_tree, load_content
+from tessera.sources.tree import list_files, list_tree, load_content, write_lines
 
 
 @pytest.fixture()
@@ -45,6 +45,21 @@ def test_rounds_list_every_entry_once(spark, tmp_path, entries):
     assert sorted(got) == sorted(want)
 
 
+def test_a_wide_tree_takes_a_few_tasks_a_core(spark, tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "x").write_text("")
+    from tessera.sources import tree as module
+
+    dealt, listed = [], module._list_folders
+    monkeypatch.setattr(
+        module, "_list_folders", lambda f, *a: (dealt.append(f.rdd.getNumPartitions()), listed(f, *a))[1]
+    )
+    got = [r.rel_path for r in list_tree(spark, str(tmp_path), entries=2).collect()]
+    assert sorted(got) == sorted(f"d{i}{end}" for i in range(300) for end in ("", "/x"))
+    assert max(dealt) <= module.CORE_TASKS * spark.sparkContext.defaultParallelism
+
+
 def test_folders_and_hidden(spark, tree):
     shown = {r.rel_path for r in list_tree(spark, str(tree)).filter("is_dir").collect()}
     assert shown == {"s", "s/n", ".hid", "s/.git"}
@@ -172,3 +187,12 @@ def test_binaries_are_read_no_further_than_they_are_told(spark, tmp_path):
     assert probed == {**data, "early.bin": data["early.bin"][:8192]}
     kept = [{r.rel_path for r in drop_binary(load_content(files, None, s)).collect()} for s in (False, True)]
     assert kept[0] == kept[1] == {"late.bin", "a.txt", "empty"}
+
+
+def test_lines_are_written_as_files_of_their_folders(spark, tmp_path):
+    rows = [("a/b", "x"), ("c", None), ("a/b", "y"), ("a", "é")]
+    lines = spark.createDataFrame(rows, "folder string, text string").coalesce(1)
+    assert write_lines(lines, str(tmp_path)) == 3
+    got = {r.rel_path: bytes(r.content) for r in load_content(list_files(spark, str(tmp_path))).collect()}
+    name = "part-00000.txt"
+    assert got == {f"a/b/{name}": b"x\ny\n", f"c/{name}": b"\n", f"a/{name}": "é\n".encode()}
