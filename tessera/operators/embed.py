@@ -150,17 +150,23 @@ def embed_unseen(
 
     Vectors are known by the digest of their text, so equal texts, moved files and
     repeated runs cost no call. What fails is not stored and is tried again next time.
+    The result is a join of written tables: reading it again asks for nothing again.
     """
-    keyed = persist_table(df.withColumn("_digest", F.sha2(F.coalesce(text_col, F.lit("")), 256)), "texts")
-    known = cache.read()
-    fresh = keyed.groupBy("_digest").agg(F.first(text_col).alias("text"))
-    fresh = fresh.join(known.select("digest"), F.col("_digest") == F.col("digest"), "left_anti")
-    made = persist_table(embed(fresh, "text", embedder, batch_size, error_col="error").drop("text"), "vectors")
+    digest = F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    keyed = df.drop("embedding", "error").withColumn("_digest", digest)
+    keyed = persist_table(keyed.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    # digests and row numbers find the texts to embed; a text itself is exchanged for that
+    # only if it is one of a table too large to be broadcast
+    known = cache.read().select(F.unhex("digest").alias("_digest"))
+    firsts = keyed.groupBy("_digest").agg(F.min("_row").alias("_row"))
+    fresh = persist_table(firsts.join(known, "_digest", "left_anti").select("_row"), "fresh")
+    asked = keyed.join(fresh, "_row", "left_semi").select("_digest", F.col(text_col).alias("text"))
+    made = persist_table(embed(asked, "text", embedder, batch_size, error_col="error").drop("text"), "vectors")
     good = F.col("error").isNull()
-    cache.add(made.filter(good).select(F.col("_digest").alias("digest"), "embedding"))
+    cache.add(made.filter(good).select(F.lower(F.hex("_digest")).alias("digest"), "embedding"))
     failed = made.filter(~good).select("_digest", "error")
-    vectors = cache.read().withColumnRenamed("digest", "_digest")
-    rows = keyed.drop("embedding", "error").join(vectors, "_digest", "left").join(failed, "_digest", "left")
+    vectors = cache.read().select(F.unhex("digest").alias("_digest"), "embedding")
+    rows = keyed.drop("_row").join(failed, "_digest", "left").join(vectors, "_digest", "left")
     return rows.drop("_digest")
 
 

@@ -93,7 +93,8 @@ def document_rows(
 ) -> DataFrame:
     """``(path, content[, language])`` to index records, with ``error`` where an embedder is asked.
 
-    Redaction comes before chunking, so no secret can straddle two pieces.
+    Redaction comes before chunking, so no secret can straddle two pieces. The rows can be
+    read several times: what an embedder gave is written out, here or with the stored vectors.
     """
     if "language" not in docs.columns:
         docs = with_language(docs)
@@ -104,7 +105,7 @@ def document_rows(
     if embedder is None:
         return build_index_rows(chunks, now=now)
     if cache is None:
-        chunks = embed(chunks, "content", embedder, error_col="error")
+        chunks = persist_table(embed(chunks, "content", embedder, error_col="error"), "embedded")
     else:
         chunks = embed_unseen(chunks, "content", embedder, cache)
     return build_index_rows(chunks, now=now, extra=("error",))
@@ -117,12 +118,12 @@ def apply_rows(
 
     A file with a chunk that could not be embedded is left as it was: neither its new
     chunks nor the removal of its old ones is applied, and the first of its errors is given.
+    Records with an ``error`` are read twice, which ``document_rows`` provides for.
     """
     spark = store.spark
     if "error" not in rows.columns:
         store.apply(updates=rows, deletes=deletes, batch=batch)
         return spark.createDataFrame([], "file_path string, error string")
-    rows = persist_table(rows, "rows")
     failed = persist_table(
         rows.filter(F.col("error").isNotNull()).groupBy("file_path").agg(F.min("error").alias("error")), "failed"
     )

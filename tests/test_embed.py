@@ -69,6 +69,25 @@ def test_only_unseen_texts_are_embedded(spark, tmp_path):
     assert cache.read().count() == 3 and VectorCache(spark, str(tmp_path), "other").read().count() == 0
 
 
+def test_known_texts_are_not_exchanged_to_find_them(spark, tmp_path, monkeypatch):
+    import tessera.operators.embed as module
+
+    cache = VectorCache(spark, str(tmp_path), "lengths/1")
+    df = spark.createDataFrame([(n, "text " * (n % 3 + 1)) for n in range(9)], "n int, text string")
+    want = {r.n: r.embedding for r in embed_unseen(df, "text", lengths, cache).collect()}
+    plans = []
+    written = module.persist_table
+
+    def seen(table, label):
+        plans.append((label, table._jdf.queryExecution().executedPlan().toString()))
+        return written(table, label)
+
+    monkeypatch.setattr(module, "persist_table", seen)
+    again = embed_unseen(df, "text", picky, cache)  # its vectors would differ
+    assert {r.n: r.embedding for r in again.collect()} == want
+    assert [label for label, _ in plans][-1] == "vectors" and "Exchange hashpartitioning" not in plans[-1][1]
+
+
 def test_queries(spark):
     df = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "query_id int, query string")
     got = {r.query_id: (r.embedding, r.error) for r in embed_queries(df, lengths, 3).collect()}
