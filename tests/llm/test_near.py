@@ -293,3 +293,33 @@ def test_altered_passages_are_found_in_both_texts(spark, docs_of, table):
         rows += [fresh(60) + p + fresh(40), fresh(30) + p[:26] + fresh(1) + p[27:] + fresh(50)]  # 45 of 55 shingles
     got = {r["doc_id"]: r for r in passages.op9_passages(spark, table(docs_of([" ".join(r) for r in rows]))).collect()}
     assert all(got[k]["n_covered"] == 54 and got[k]["n_links"] == 1 for k in range(200))
+
+
+def test_only_stretches_that_may_hold_passages_go_on(spark):
+    rng = random.Random(21)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    line, common = fresh(12), fresh(60)
+    rows = [fresh(300) + line + fresh(200), fresh(20) + common + fresh(400) + line, line + fresh(150) + common, fresh(500)]
+    texts = spark.createDataFrame([(k, k, " ".join(r)) for k, r in enumerate(rows)], "h long, g int, text string")
+    got = {r["h"]: r for r in passages._stretches_of(texts, sum(map(len, rows))).collect()}
+    assert {k: (r["starts"], r["parts"]) for k, r in got.items()} == {1: ([20], [" ".join(common)]), 2: ([162], [" ".join(common)])}
+    assert sorted(got[1]["keys"]) == sorted(got[2]["keys"])
+
+
+def test_no_two_texts_with_a_passage_are_passed_over():
+    rng = np.random.default_rng(22)
+    base, line = rng.integers(0, 400, 120).astype(np.uint64), rng.integers(0, 400, 8).astype(np.uint64)
+    found = []
+    for k in range(24):
+        s = rng.integers(1_000, 9_000, 160).astype(np.uint64)
+        part = base[rng.integers(0, 60) :]
+        s[20 : 20 + len(part)] = part
+        s[20:140][rng.random(120) < k / 60] = 7
+        s[150:158] = line
+        found.append(s)
+    want = np.array([[x < y and bool(passages.shared_passages(found[x], found[y])) for y in range(24)] for x in range(24)])
+    near = passages._close(found, np.triu(np.ones((24, 24), bool), 1))
+    assert want.any() and not (want & ~near).any() and near.sum() < 24 * 23 // 2
