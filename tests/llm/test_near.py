@@ -323,3 +323,25 @@ def test_no_two_texts_with_a_passage_are_passed_over():
     want = np.array([[x < y and bool(passages.shared_passages(found[x], found[y])) for y in range(24)] for x in range(24)])
     near = passages._close(found, np.triu(np.ones((24, 24), bool), 1))
     assert want.any() and not (want & ~near).any() and near.sum() < 24 * 23 // 2
+
+
+def test_a_round_sends_few_copies_of_the_texts_however_large_a_hub(spark, docs_of, table, monkeypatch):
+    rng = random.Random(23)
+    common = [f"c{i}" for i in range(60)]
+    rows = [" ".join([f"u{rng.randrange(10**9)}" for _ in range(30)] + common) for _ in range(60)]
+    folder = table(docs_of(rows + [" ".join(f"v{i}" for i in range(80))] * 2))
+    monkeypatch.setattr(passages, "CHUNK", 2)
+    monkeypatch.setattr(passages, "ROUND_BYTES", 1)
+    sent, rounds = [], passages._rounds
+
+    def seen(*given):
+        sent.extend(out := rounds(*given))
+        return out
+
+    monkeypatch.setattr(passages, "_rounds", seen)
+    got = plain(passages.op9_passages(spark, folder))
+    assert len(sent) > 3 and max(rows.count() for rows in sent) <= 2 * passages.ROUND_COPIES * 60
+    monkeypatch.setattr(passages, "CHUNK", 512)
+    monkeypatch.setattr(passages, "ROUND_BYTES", 1 << 28)
+    sent.clear()
+    assert plain(passages.op9_passages(spark, folder)) == got and len(sent) == 1

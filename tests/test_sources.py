@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.filters import drop_binary
 from tessera.schema import METADATA, METADATA_FILE_NAME
+from tessera.session import persist_table
 from tessera.sources.corpus import read_corpus, spread
 from tessera.sources.metadata import merge_metadata, metadata_from_files, read_metadata, write_metadata
 from tessera.sources.tree import list_files, list_tree, load_content, write_lines
@@ -196,3 +197,15 @@ def test_lines_are_written_as_files_of_their_folders(spark, tmp_path):
     got = {r.rel_path: bytes(r.content) for r in load_content(list_files(spark, str(tmp_path))).collect()}
     name = "part-00000.txt"
     assert got == {f"a/b/{name}": b"x\ny\n", f"c/{name}": b"\n", f"a/{name}": "é\n".encode()}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(k).getName() for k in range(held.size())}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given, before = spark.conf.get(setting), files()
+    table = persist_table(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not [f for f in files() - before if f.startswith("shuffle_")]
+    assert spark.conf.get(setting) == given and table.count() == 7
