@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -345,3 +346,20 @@ def test_a_round_sends_few_copies_of_the_texts_however_large_a_hub(spark, docs_o
     monkeypatch.setattr(passages, "ROUND_BYTES", 1 << 28)
     sent.clear()
     assert plain(passages.op9_passages(spark, folder)) == got and len(sent) == 1
+
+
+def test_pairs_that_add_nothing_are_not_chained(monkeypatch):
+    rng = random.Random(24)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    common, pairs = fresh(70), [fresh(20) for _ in range(15)]
+    # 20 words that one other text has, too few for a passage, keep both from being covered whole
+    rows = [" ".join(pairs[k // 2] + common) for k in range(30)]
+    seen, chained = passages.shared_passages, []
+    monkeypatch.setattr(passages, "shared_passages", lambda *given: chained.append(1) or seen(*given))
+    texts = [([0], [zlib.compress(r.encode())], np.array([1])) for r in rows]
+    out, links = passages._verify(0, 0, 0, list(range(30)), [0] * 30, texts, [[0]] * 30)
+    assert links[np.triu_indices(30, 1)].all() and len(chained) < 60
+    assert [(k, a, b) for k, a, b, *_ in out if a is not None] == [(k, 0, 90) for k in range(30)]
